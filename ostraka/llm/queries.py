@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import components, encode, spans
+from . import components, encode, leaks, overlap, residue, spans, splits
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,10 +28,47 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return components.group_ids(table(spark, sf, "join_pairs", "fragment_id_a", "fragment_id_b"), "fragment_id_a", "fragment_id_b")
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.divided(table(spark, sf, "splits", "doc_id", "cth", "is_bin", "main_split"))
+
+
+def p3_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.assign(table(spark, sf, "splits", "doc_id", "cth", "site", "is_bin"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = overlap.cross_split_pairs(table(spark, sf, "failures", "doc_id", "query_rendering"), table(spark, sf, "splits", "doc_id", "main_split"))
+    return pairs.select(F.least("train_id", "eval_id").alias("doc_id_1"), F.greatest("train_id", "eval_id").alias("doc_id_2"))
+
+
+def p5_report(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, sf, "failures", "doc_id", "query_rendering"), table(spark, sf, "splits", "doc_id", "site", "main_split"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.token_ids(table(spark, sf, "documents", "doc_id", "text"))
 
 
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "heldout_items", "item_id", "text"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf)
+
+
+def p7_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _leaks(spark, sf).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(table(spark, sf, "documents", "doc_id", "text")).select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(table(spark, sf, "documents", "doc_id", "text")).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
+
+
 _FRAGMENTS = """
 raw AS (SELECT query_id AS fragment_id, query_rendering AS r FROM failures
         UNION ALL SELECT predicted, predicted_rendering FROM failures),
@@ -48,12 +86,28 @@ spans AS (SELECT fragment_id, CAST(min(pos) AS INTEGER) AS start_tok, CAST(max(p
 """
 _SHARED = "hit AS (SELECT w.fragment_id, w.pos FROM win w JOIN (SELECT g FROM win GROUP BY g HAVING count(DISTINCT fragment_id) > 1) s USING (g))"
 
+_LEAKS = """
+WITH doc AS (SELECT doc_id AS id, regexp_extract_all(replace(replace(replace(replace(lower(nfc_normalize(text)), '[', ''), ']', ''), '⸢', ''), '⸣', ''), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+item AS (SELECT item_id AS id, regexp_extract_all(replace(replace(replace(replace(lower(nfc_normalize(text)), '[', ''), ']', ''), '⸢', ''), '⸣', ''), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM heldout_items WHERE text IS NOT NULL),
+dg AS (SELECT DISTINCT id, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS p FROM doc)),
+ig AS (SELECT DISTINCT id, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS p FROM item)),
+leak AS (SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g))
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_share": p1_share,
     "p1_later_occurrences": p1_later_occurrences,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_assign": p3_assign,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
 }
 
 SQL = {
@@ -66,6 +120,21 @@ SQL = {
     "p1_later_occurrences": f"""WITH {_FRAGMENTS},
         hit AS (SELECT fragment_id, pos FROM (SELECT fragment_id, pos, row_number() OVER (PARTITION BY g ORDER BY fragment_id, pos) AS k FROM win) WHERE k > 1),
         {_RUNS} SELECT fragment_id, start_tok, end_tok FROM spans""",
+    "p3_found": """WITH RECURSIVE
+        row AS (SELECT doc_id, cth, coalesce(is_bin, false) AS b, lower(trim(main_split)) AS l FROM splits WHERE cth IS NOT NULL),
+        kind AS (SELECT cth, bool_or(b) AS bin FROM row GROUP BY cth),
+        held AS (SELECT DISTINCT doc_id, cth FROM row JOIN kind USING (cth) WHERE NOT bin AND doc_id IS NOT NULL),
+        edge AS (SELECT DISTINCT a.cth AS x, b.cth AS y FROM held a JOIN held b USING (doc_id) WHERE a.cth <> b.cth),
+        lab(id, g) USING KEY (id) AS (
+            SELECT cth AS id, cth AS g FROM kind WHERE NOT bin
+            UNION
+            SELECT e.y AS id, min(l.g) AS g FROM lab l JOIN edge e ON e.x = l.id JOIN recurring.lab o ON o.id = e.y
+            WHERE l.g < o.g GROUP BY e.y),
+        split_group AS (SELECT g FROM lab JOIN row ON row.cth = lab.id WHERE l IN ('train', 'dev', 'test') GROUP BY g HAVING count(DISTINCT l) > 1)
+        SELECT id AS cth FROM lab WHERE g IN (SELECT g FROM split_group)
+        UNION SELECT cth FROM kind WHERE bin AND cth IN (SELECT cth FROM row WHERE l IN ('train', 'dev', 'test'))""",
+    "p7_found": _LEAKS + "SELECT doc_id, item_id FROM leak",
+    "p7_items": _LEAKS + "SELECT item_id, count(*) AS documents FROM leak GROUP BY item_id",
     "p2_found": """WITH RECURSIVE
         pair AS (SELECT nullif(trim(fragment_id_a), '') AS x, nullif(trim(fragment_id_b), '') AS y FROM join_pairs),
         node AS (SELECT x AS id FROM pair WHERE x IS NOT NULL UNION SELECT y FROM pair WHERE y IS NOT NULL),
