@@ -7,8 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rejects",)
-FLAGSHIP = "p4_found"
+MODULES = ("rejects", "witness")
+FLAGSHIP = "witness_census_a2m1"
 
 
 def _gather(what: str) -> dict:
