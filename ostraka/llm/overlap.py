@@ -1,17 +1,18 @@
 """Same or near-same records across splits, by similarity-hash fingerprints joined in bit blocks.
 
 Texts are normalised to token lists. Equal lists form one class, whatever number of records
-holds it. The fingerprint of a class has 512 bits: each token adds its pseudo-random +1/-1
-vector, the sign of each sum is a bit, so two lists differ in a share of bits that grows with
-the angle between their token counts. The fingerprint is cut into 42 blocks of 12 bits; classes
-of the training split and of the evaluation splits that agree in a block meet, and the meeting
-is kept if the first 128 bits lie within the Hamming radius. The survivors, almost all of them
-true, are compared token by token; links between classes are then expanded to the records.
+holds it. The fingerprint of a class has 512 bits: each distinct token but worn signs and numbers,
+which all texts share, adds its pseudo-random +1/-1 vector, and the sign of each sum is a bit, so
+two lists differ in a share of bits that grows with the angle between their token sets. The
+fingerprint is cut into 42 blocks of 12 bits; classes of the training split and of the evaluation
+splits that agree in a block meet, and the meeting is kept if the first 128 bits and then all 512
+lie within the Hamming radius. The survivors, almost all of them true, are compared token by
+token; links between classes are then expanded to the records.
 
 Why these widths: at a fifth of the tokens edited (the limit) two fingerprints differ in about a
 fifth of their bits, a block agrees with probability 0.8^12 = 0.07 and some block does with 0.95;
 at a tenth of the tokens edited some block agrees with 0.9999. Unrelated lists meet with 42/4096.
-The radius of 44 of 128 bits is the limit's mean plus four standard deviations.
+The radii, 44 of 128 and 144 of 512 bits, are the limit's mean plus four standard deviations.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from ..storage import Scratch
 from .spans import WHITE
 
-BITS, BLOCK_BITS, BLOCKS, RADIUS = 512, 12, 42, 44
+BITS, BLOCK_BITS, BLOCKS = 512, 12, 42
+RADIUS, FULL_RADIUS = 44, 144
+LANES = BITS // 64
 MIN_TOKENS, EDIT_SHARE = 12, 0.2
 #: Characters deleted before comparison, and tokens that do not count.
 _DELETED = str.maketrans("", "", "[]⸢⸣?!*#")
@@ -59,7 +62,8 @@ def _token_bits(tokens: list[str]) -> np.ndarray:
 
 
 def fingerprints(lists: list[list[str]]) -> np.ndarray:
-    """(lists, BITS) of 0 and 1: the fingerprint of each token list (none may be empty)."""
+    """(lists, BITS) of 0 and 1: the fingerprint of each token list, of which none may be all worn."""
+    lists = [sorted(set(ts) - _WORN) for ts in lists]
     number: dict[str, int] = {}
     flat = np.fromiter((number.setdefault(t, len(number)) for ts in lists for t in ts), np.int64)
     bits = _token_bits(list(number))
@@ -143,11 +147,12 @@ def _fingerprinted(classes: DataFrame) -> DataFrame:
                 part = batch.slice(s, 4096)
                 bits = fingerprints([t.split(" ") for t in part.column(2).to_pylist()])
                 codes = blocks_of(bits).astype(np.int32)
-                lanes = np.packbits(bits[:, :128], axis=1).view(np.int64)
+                lanes = np.packbits(bits, axis=1).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * BLOCKS, pa.int32()), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists, pa.array(lanes[:, 0].copy()), pa.array(lanes[:, 1].copy())], ["cid", "sides", "codes", "f0", "f1"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *[pa.array(lanes[:, i].copy()) for i in range(LANES)]], ["cid", "sides", "text", "codes", *[f"f{i}" for i in range(LANES)]])
 
-    return classes.select("cid", "sides", "text").mapInArrow(run, "cid bigint, sides int, codes array<int>, f0 bigint, f1 bigint")
+    lanes = ", ".join(f"f{i} bigint" for i in range(LANES))
+    return classes.select("cid", "sides", "text").mapInArrow(run, f"cid bigint, sides int, text string, codes array<int>, {lanes}")
 
 
 def _verified(pairs: DataFrame, share: float) -> DataFrame:
@@ -193,9 +198,10 @@ def cross_split_pairs(failures: DataFrame, splits: DataFrame, share: float = EDI
     evals = block.where("sides in (2, 3)").select("code", F.col("cid").alias("cb"), F.col("f0").alias("b0"), F.col("f1").alias("b1"))
     near = train.join(evals, "code").where(
         f"ca <> cb and bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {RADIUS}").select("ca", "cb").distinct()
-    text = classes.select("cid", "text")
-    pairs = near.join(text.select(F.col("cid").alias("ca"), F.col("text").alias("ta")), "ca").join(
-        text.select(F.col("cid").alias("cb"), F.col("text").alias("tb")), "cb").select("ca", "cb", "ta", "tb")
+    left = prints.select(F.col("cid").alias("ca"), F.col("text").alias("ta"), *[F.col(f"f{i}").alias(f"a{i}") for i in range(LANES)])
+    right = prints.select(F.col("cid").alias("cb"), F.col("text").alias("tb"), *[F.col(f"f{i}").alias(f"b{i}") for i in range(LANES)])
+    apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(LANES))
+    pairs = near.join(left, "ca").join(right, "cb").where(f"{apart} <= {FULL_RADIUS}").select("ca", "cb", "ta", "tb")
     links = _verified(pairs, share)
     same = classes.where("sides = 3").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"))
     links = links.unionByName(same)
