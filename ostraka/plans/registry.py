@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rejects", "witness", "retrieval")
+MODULES = ("rejects", "witness", "retrieval", "structure")
 FLAGSHIP = "witness_census_a2m1"
 
 
