@@ -3,8 +3,8 @@
 A span of ``mask`` tokens inside a line is hidden; ``anchors`` tokens on each side stay. A
 witness is any line of the same scope, of another family, where the same anchors enclose a
 middle of at most ``max_middle`` tokens (the empty middle, an omission, is a proposal too). The
-index of witness windows is first reduced to the anchors that some span asks for, then joined on
-scope and both anchors; families vote once per middle.
+index holds only windows between anchors that two families share, and is joined on scope and both
+anchors; families vote once per middle.
 """
 
 from __future__ import annotations
@@ -35,19 +35,33 @@ def masked_spans(lines: DataFrame, anchors: int, mask: int, *keep: str) -> DataF
         key(F.slice(t, F.col("i") + anchors, mask)).alias("gold"))
 
 
-def anchor_index(lines: DataFrame, wanted: DataFrame, anchors: int, scope: str, max_middle: int = MAX_MIDDLE) -> DataFrame:
-    """(scope, l, r, middle, family): distinct witness windows whose anchors are wanted.
+def shared_anchors(lines: DataFrame, anchors: int, scope: str) -> DataFrame:
+    """Lines with sp: the start positions whose anchor stands in another family of the scope too.
 
-    The semi-join comes before the distinct: it changes what is shuffled, not what is found.
+    An anchor of one family alone can be part of no proposal, so windows are only ever built
+    between shared positions; grams are reduced to two numbers per key before the shuffle.
     """
     t = F.col("tokens")
-    starts = lines.where(F.size(t) >= 2 * anchors).select(scope, "family", "tokens", F.explode(F.sequence(F.lit(1), F.size(t) - (2 * anchors - 1))).alias("i"))
-    room = F.size(t) - (F.col("i") + 2 * anchors - 1)
-    windows = starts.select(scope, "family", "tokens", "i", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_middle), room))).alias("m"))
+    at = F.transform(F.sequence(F.lit(1), F.size(t) - (anchors - 1)), lambda i: F.struct(i.alias("i"), key(F.slice(t, i, anchors)).alias("g")))
+    grams = lines.where(F.size(t) >= 2 * anchors).select("doc_id", "line", scope, "family", F.explode(at).alias("x")).select("doc_id", "line", scope, "family", "x.i", "x.g")
+    shared = grams.groupBy(scope, "g").agg(F.min("family").alias("a"), F.max("family").alias("z")).where("a <> z").select(scope, "g")
+    places = grams.join(shared, [scope, "g"]).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list("i")).alias("sp"))
+    return lines.join(places, ["doc_id", "line"])
+
+
+def anchor_index(lines: DataFrame, anchors: int, scope: str, max_middle: int = MAX_MIDDLE) -> DataFrame:
+    """(scope, l, r, middle, family): distinct witness windows between anchors that another family has too.
+
+    The reduction comes before the windows are built: it changes what is shuffled, not what is found.
+    """
+    t, i = F.col("tokens"), F.col("i")
+    starts = shared_anchors(lines, anchors, scope).select(scope, "family", "tokens", "sp", F.explode("sp").alias("i"))
+    ends = F.filter("sp", lambda j: (j >= i + anchors) & (j <= i + anchors + max_middle))
+    windows = starts.select(scope, "family", "tokens", "i", F.explode(ends).alias("j"))
     cut = windows.select(
-        scope, key(F.slice(t, F.col("i"), anchors)).alias("l"), key(F.slice(t, F.col("i") + anchors + F.col("m"), anchors)).alias("r"),
-        key(F.slice(t, F.col("i") + anchors, F.col("m"))).alias("middle"), "family")
-    return cut.join(wanted.select(scope, "l", "r").distinct(), [scope, "l", "r"], "left_semi").distinct()
+        scope, key(F.slice(t, i, anchors)).alias("l"), key(F.slice(t, F.col("j"), anchors)).alias("r"),
+        key(F.slice(t, i + anchors, F.col("j") - i - anchors)).alias("middle"), "family")
+    return cut.distinct()
 
 
 def votes(spans: DataFrame, index: DataFrame, scope: str, ids: list[str]) -> DataFrame:
@@ -88,7 +102,7 @@ def census(lines: DataFrame, anchors: int, mask: int, scope: str, unit: str, max
     ids = ["doc_id", "line", "start"]
     spans = masked_spans(lines, anchors, mask, "doc_id", scope, unit, "family")
     spans = spans.join(eligible_scopes(lines, scope), scope, "left_semi")
-    index = anchor_index(lines, spans, anchors, scope, max_middle)
+    index = anchor_index(lines, anchors, scope, max_middle)
     # the gold answer rides along the join, so one aggregation by span is enough
     asked = spans.select(*ids, scope, "l", "r", "gold", F.col("family").alias("own"))
     met = asked.join(index, [scope, "l", "r"]).where("family <> own")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import structure as st
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
-    return st.words(table(spark, sf, "documents", "doc_id", "text"))
+    return st.words(spread(table(spark, sf, "documents", "doc_id", "text")))
 
 
 def milestone_state_counts(spark: SparkSession, sf: str) -> DataFrame:

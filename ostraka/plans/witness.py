@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import pct, wilson
 from ..operators import calibration as cal
 from ..operators import text, witness
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..storage import Scratch
 
 IDS = ["doc_id", "line", "start"]
@@ -17,7 +17,7 @@ IDS = ["doc_id", "line", "start"]
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents", "doc_id", "text", "lang", "source")
     fam = text.families(docs)
-    named = docs.select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("scope"), F.coalesce("source", F.lit("none")).alias("unit"))
+    named = spread(docs).select("doc_id", "text", F.coalesce("lang", F.lit("none")).alias("scope"), F.coalesce("source", F.lit("none")).alias("unit"))
     return text.lines(named, "scope", "unit").join(fam, "doc_id")
 
 
@@ -27,7 +27,7 @@ def _spans(lines: DataFrame, anchors: int = 2, mask: int = 1) -> DataFrame:
 
 
 def _votes(lines: DataFrame, spans: DataFrame, anchors: int = 2) -> DataFrame:
-    return witness.votes(spans, witness.anchor_index(lines, spans, anchors, "scope"), "scope", IDS)
+    return witness.votes(spans, witness.anchor_index(lines, anchors, "scope"), "scope", IDS)
 
 
 def _standings(spark: SparkSession, sf: str) -> DataFrame:

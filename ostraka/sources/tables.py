@@ -9,3 +9,13 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """``<folder>/<name>.parquet``, projected at the scan when columns are named."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer partitions than the session has cores.
+
+    A small file is one task, however much work is done on each of its rows; a large table has
+    more partitions than cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

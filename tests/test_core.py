@@ -27,7 +27,7 @@ def test_votes_and_omission(spark):
     lines = _lines(spark, rows)
     spans = witness.masked_spans(lines, 1, 1, "doc_id", "scope", "family").where("doc_id = 1")
     ids = ["doc_id", "line", "start"]
-    votes = witness.votes(spans, witness.anchor_index(lines, spans, 1, "scope"), "scope", ids)
+    votes = witness.votes(spans, witness.anchor_index(lines, 1, "scope"), "scope", ids)
     assert {r.middle: r.support for r in votes.collect()} == {"g": 1, "v\x1fw": 1, "": 1}
     s = witness.standings(spans, votes, ids).first()
     assert (s.n_alt, s.top, s.runner_up, s.unique_top, s.top_exact) == (3, 1, 1, False, False)
