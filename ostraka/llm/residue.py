@@ -14,7 +14,8 @@ Each kind of residue has a grammar of its own, tied to its delimiters or its sto
 Fields inside code (fenced or inline) count only where no tutorial speaks about them: a text that
 explains a template language around its code samples is no residue, unless fields make up most of
 what is left of it. A grammar is tried only on texts that hold one of its literal anchors, so the
-cost of the many grammars is that of a few substring searches a text. No shuffle.
+cost of the many grammars is that of a few substring searches a text. The anchors are read off the
+parsed pattern, branch by branch, so no match is without one. No shuffle.
 """
 
 from __future__ import annotations
@@ -30,73 +31,144 @@ _NAME = r"[A-Za-z][\w .\-]{0,60}"
 _CAPS = r"[A-Z][A-Z0-9]*(?:[ _\-][A-Z0-9]+)*"
 
 
+# Signs that a pattern without regard to case takes for equal though they differ in lower case.
+_FOLD = str.maketrans({"İ": "i", "ı": "i", "ſ": "s", "ᲀ": "в", "ᲁ": "д", "ᲂ": "о", "ᲃ": "с", "ᲄ": "т", "ᲅ": "т", "ᲆ": "ъ"})
+_MOST = 300  # literals that a stretch of a pattern may unfold to
+
+
+def fold(text: str) -> str:
+    return text.translate(_FOLD).lower()
+
+
 @dataclass(frozen=True)
 class Grammar:
     kind: str
-    anchors: tuple[str, ...]  # lower case; one of them stands in every match
+    anchors: tuple[str, ...]  # folded; one of them stands in every match. None: tried on every text
     pattern: re.Pattern
 
 
-def _g(kind: str, anchors: str, pattern: str, flags: int = re.I) -> Grammar:
-    return Grammar(kind, tuple(anchors.split("|")), re.compile(pattern, flags))
+def _worth(literals: frozenset[str]) -> tuple[int, int]:
+    return min(map(len, literals)), -len(literals)
+
+
+def _literals(items) -> tuple[frozenset[str] | None, frozenset[str] | None]:
+    """(all strings the items match, if they are few; the best set of which one stands in every match)."""
+    found: list[frozenset[str]] = []
+    run = frozenset([""])  # what the stretch since the last open item can be
+
+    def close() -> None:
+        nonlocal run
+        if "" not in run:
+            found.append(run)
+        run = frozenset([""])
+
+    whole = True
+    for op, arg in items:
+        name, all_, some = str(op), None, None
+        if name == "LITERAL":
+            all_ = frozenset([fold(chr(arg))])
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            all_ = frozenset(fold(chr(c)) for _, c in arg)
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue  # no width
+        elif name == "SUBPATTERN":
+            all_, some = _literals(arg[3])
+        elif name == "BRANCH":
+            parts = [_literals(x) for x in arg[1]]
+            if all(x is not None for x, _ in parts):
+                all_ = frozenset().union(*(x for x, _ in parts))
+            if all(x is not None for _, x in parts):
+                some = frozenset().union(*(x for _, x in parts))
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            once, some = _literals(inner)
+            if once is not None and (least, most) in ((0, 1), (1, 1)):
+                all_ = once if least else once | {""}
+            some = some if least else None
+        if all_ is not None and len(run) * len(all_) > _MOST:
+            whole = False
+            close()
+        if all_ is not None and len(all_) <= _MOST:
+            run = frozenset(x + y for x in run for y in all_)
+            continue
+        whole = False
+        close()
+        if some:
+            found.append(some)
+    all_ = run if whole else None
+    close()
+    best = max(found, key=_worth, default=None)
+    return all_, best
+
+
+def anchors(pattern: str, flags: int = 0) -> tuple[str, ...]:
+    """Folded literals of which one stands in every match of the pattern; none if it has no such set."""
+    best = _literals(re._parser.parse(pattern, flags))[1] or frozenset()
+    return tuple(sorted(a for a in best if not any(b != a and b in a for b in best)))
+
+
+def _g(kind: str, pattern: str, flags: int = re.I) -> Grammar:
+    return Grammar(kind, anchors(pattern, flags), re.compile(pattern, flags))
 
 
 # Delimiters of template languages with the names they admit.
 FIELDS = (
-    _g("field", "{{", r"\{\{\{?[#/^&>~!-]?\s*" + _NAME + r"(?:\s*\|[^{}\n]{0,60})?(?:\([^{}\n]{0,60}\))?\s*-?\}?\}\}"),
-    _g("field", "${", r"\$\{\s*" + _NAME + r"(?:[:|][^{}\n]{0,60})?\}"),
-    _g("field", "#{", r"#\{\s*" + _NAME + r"\}"),
-    _g("field", "{$", r"\{\$\s*" + _NAME + r"(?:\|[^{}\n]{0,60})?\}"),
-    _g("field", "<%", r"<%[=\-#@!]?\s*[^%<>\n]{1,120}?\s*-?%>"),
-    _g("field", "{%", r"\{%[-+]?\s*[a-z]\w*[^%{}\n]{0,120}[-+]?%\}"),
-    _g("field", "<?", r"<\?(?:php|=)\s[^<>\n]{0,120}\?>"),
-    _g("field", "{", r"\{[a-z_]\w*(?:\.\w+)*(?:![rsa])?:[^{}\s,;]{0,12}\}"),
-    _g("field", "{0}", r"\{0(?::[^{}\s]{0,12})?\}"),
-    _g("field", "%(", r"%\(\w+\)[sdifr]"),
-    _g("field", "[[", r"\[\[\s*(?:" + _CAPS + r"|[a-z]\w*(?:[_.]\w+)*)\s*\]\]", 0),
-    _g("field", "<<", r"<<\s*[a-z]\w*(?:[ _.\-]\w+)*\s*>>"),
-    _g("field", "«", r"«[A-Za-z]+_[A-Za-z_]+»"),
-    _g("field", "%", r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?![\w%])"),
-    _g("field", "$", r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\$(?![\w$])"),
-    _g("field", "__", r"(?<!\w)__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)"),
-    _g("field", "@@", r"@@[A-Za-z][A-Za-z0-9]*(?:[_\- ][A-Za-z0-9]+)*@@"),
-    _g("field", "##", r"(?<!#)##[A-Z][A-Z0-9]*(?:[_\-][A-Z0-9]+)*##(?!#)"),
-    _g("field", "***", r"\*\*\*[A-Z]+(?:_[A-Z]+)*\*\*\*", 0),
-    _g("field", "insert|enter|add |your|placeholder|here]|here>|tbd|to be|replace|choose|select|fill|name]|title]|date]",
+    _g("field", r"\{\{\{?[#/^&>~!-]?\s*" + _NAME + r"(?:\s*\|[^{}\n]{0,60})?(?:\([^{}\n]{0,60}\))?\s*-?\}?\}\}"),
+    _g("field", r"\$\{\s*" + _NAME + r"(?:[:|][^{}\n]{0,60})?\}"),
+    _g("field", r"#\{\s*" + _NAME + r"\}"),
+    _g("field", r"\{\$\s*" + _NAME + r"(?:\|[^{}\n]{0,60})?\}"),
+    _g("field", r"<%[=\-#@!]?\s*[^%<>\n]{1,120}?\s*-?%>"),
+    _g("field", r"\{%[-+]?\s*[a-z]\w*[^%{}\n]{0,120}[-+]?%\}"),
+    _g("field", r"<\?(?:php|=)\s[^<>\n]{0,120}\?>"),
+    _g("field", r"\{[a-z_]\w*(?:\.\w+)*(?:![rsa])?:[^{}\s,;]{0,12}\}"),
+    _g("field", r"\{0(?::[^{}\s]{0,12})?\}"),
+    _g("field", r"%\(\w+\)[sdifr]"),
+    _g("field", r"\[\[\s*(?:" + _CAPS + r"|[a-z]\w*(?:[_.]\w+)*)\s*\]\]", 0),
+    _g("field", r"<<\s*[a-z]\w*(?:[ _.\-]\w+)*\s*>>"),
+    _g("field", r"«[A-Za-z]+_[A-Za-z_]+»"),
+    _g("field", r"(?<![\w%])%[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*%(?![\w%])"),
+    _g("field", r"(?<![\w$])\$[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*\$(?![\w$])"),
+    _g("field", r"(?<!\w)__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?!\w)"),
+    _g("field", r"@@[A-Za-z][A-Za-z0-9]*(?:[_\- ][A-Za-z0-9]+)*@@"),
+    _g("field", r"(?<!#)##[A-Z][A-Z0-9]*(?:[_\-][A-Z0-9]+)*##(?!#)"),
+    _g("field", r"\*\*\*[A-Z]+(?:_[A-Z]+)*\*\*\*", 0),
+    _g("field",
        r"[\[<({]\s*(?:please\s+)?(?:(?:insert|enter|add|type|choose|select|replace|fill in|fill)\s[^\[\]<>(){}\n]{1,60}|insert|your\s[^\[\]<>(){}\n]{1,40}"
        r"|[^\[\]<>(){}\n]{0,40}\bplaceholder\b[^\[\]<>(){}\n]{0,40}|[^\[\]<>(){}\n]{1,40}\b(?:goes|go|comes|come)\s+here|t\.?b\.?[dac]\.?"
        r"|(?:first|last|full|company|customer|user)?[ _]?(?:name|title|date)\s+here"
        r"|[^\[\]<>(){}\n]{1,60}\bto be (?:filled(?: in)?|added|completed|inserted|supplied|determined|announced|confirmed)(?: (?:in|here|later))?)\s*[\])>}]"),
-    _g("field", "einfügen|eintragen|einsetzen|ergänzen|ausfüllen|platzhalter|hier ",
+    _g("field",
        r"[\[<({]\s*(?:bitte\s+)?[^\[\]<>(){}\n]{0,60}\b(?:einfügen|eintragen|einsetzen|ausfüllen|hier ergänzen|platzhalter)\b[^\[\]<>(){}\n]{0,20}[\])>}]"),
-    _g("field", "insér|inser|remplir|compl|saisir|rellen|preench|ekle|invul",
+    _g("field",
        r"[\[<({]\s*(?:insérer|inserer|insérez|à compléter|à remplir|saisir|inserire|inserisci|da completare|insertar|inserte|rellenar|por completar|inserir|preencher|invullen|buraya)\b[^\[\]<>(){}\n]{0,60}[\])>}]"),
-    _g("note", "todo|fixme|tbd", r"(?:^|[^\w-])(?:TODO|FIXME|TBD|XXX)\s?(?:\([^()\n]{0,30}\))?\s?:\s*\S", 0),
-    _g("note", "todo", r"(?:^|[^\w-])(?:TODO)\s+(?:add|fill|write|insert|complete|check|replace)\b"),
-    _g("note", "goes here|go here|comes here", r"\b(?:your|the|add|put)\s+[\w ]{1,40}\s(?:goes|go|comes)\s+here\b"),
-    _g("note", "here", r"\b(?:insert|enter|type|paste|put|add|write)\s+(?:your|the|a|some)\s+[\w ]{1,40}\s+here\b"),
-    _g("note", "to be filled in|to be completed", r"\((?:[\w ]{1,40} )?to be (?:filled in|completed)\)"),
+    _g("note", r"(?:^|[^\w-])(?:TODO|FIXME|TBD)\s?(?:\([^()\n]{0,30}\))?\s?:\s*\S", 0),
+    # three X are also a volume of a series ("KUB XXX: 15"): a note only where it opens a line or a comment
+    _g("note", r"(?:^\W*|(?:#|//|/\*|<!--)\s*)XXX\s?(?:\([^()\n]{0,30}\))?\s?:\s*[^\W\d]", re.M),
+    _g("note", r"(?:^|[^\w-])(?:TODO)\s+(?:add|fill|write|insert|complete|check|replace)\b"),
+    _g("note", r"\b(?:your|the|add|put)\s+[\w ]{1,40}\s(?:goes|go|comes)\s+here\b"),
+    _g("note", r"\b(?:insert|enter|type|paste|put|add|write)\s+(?:your|the|a|some)\s+[\w ]{1,40}\s+here\b"),
+    _g("note", r"\((?:[\w ]{1,40} )?to be (?:filled in|completed)\)"),
 )
 
 # Sample copy that a publishing system expects to be replaced.
 SAMPLES = (
-    _g("sample", "sample|dummy|placeholder|filler|example|default", r"\bthis is (?:a |an |some |just )?(?:sample|dummy|placeholder|filler|example|default)\s+(?:content|text|copy|page|post|paragraph|entry|description|article|record)\b"),
-    _g("sample", "replace", r"\breplace (?:it|this|me|these|them)(?: \w+)?\s+with\s+(?:the|your|a)\b"),
-    _g("sample", "click|tap", r"\b(?:click|tap|double[- ]click)(?: here)? to (?:edit|add|change|insert|enter)\b"),
-    _g("sample", "edit or delete", r"\bedit or delete (?:it|this)\b"),
-    _g("sample", "beispiel|muster|platzhalter|blindtext", r"\b(?:hier (?:steht|kommt|folgt|stünde)|dies ist|das ist)\s+(?:ein|eine|der|nur ein)\s+(?:beispiel|muster|platzhalter|blind|füll)\w*"),
-    _g("sample", "ersetzen", r"\bbitte\s+(?:durch|mit)\s+[^.\n]{1,60}\s+ersetzen\b"),
-    _g("sample", "klicken sie", r"\bklicken sie(?: hier)?,? um [^.\n]{1,60}\b(?:bearbeiten|ändern|hinzuzufügen)\b"),
-    _g("sample", "exemple|remplacer|remplacez", r"\b(?:ceci est|voici) un (?:texte|contenu) (?:d'exemple|de démonstration|factice)|\b(?:à remplacer|remplacez-le) par\b"),
-    _g("sample", "esempio|segnaposto|sostituir", r"\b(?:questo è un )?testo (?:di esempio|segnaposto|di prova)\b"),
-    _g("sample", "ejemplo|prueba|relleno", r"\btexto de (?:ejemplo|prueba|relleno|muestra)\b"),
-    _g("sample", "örnek", r"\börnek (?:metin|içerik)\b"),
-    _g("sample", "test entry|test post|test page|test record|testeintrag|delete me|please ignore|bitte ignorieren",
+    _g("sample", r"\bthis is (?:a |an |some |just )?(?:sample|dummy|placeholder|filler|example|default)\s+(?:content|text|copy|page|post|paragraph|entry|description|article|record)\b"),
+    _g("sample", r"\breplace (?:it|this|me|these|them)(?: \w+)?\s+with\s+(?:the|your|a)\b"),
+    _g("sample", r"\b(?:click|tap|double[- ]click)(?: here)? to (?:edit|add|change|insert|enter)\b"),
+    _g("sample", r"\bedit or delete (?:it|this)\b"),
+    _g("sample", r"\b(?:hier (?:steht|kommt|folgt|stünde)|dies ist|das ist)\s+(?:ein|eine|der|nur ein)\s+(?:beispiel|muster|platzhalter|blind|füll)\w*"),
+    _g("sample", r"\bbitte\s+(?:durch|mit)\s+[^.\n]{1,60}\s+ersetzen\b"),
+    _g("sample", r"\bklicken sie(?: hier)?,? um [^.\n]{1,60}\b(?:bearbeiten|ändern|hinzuzufügen)\b"),
+    _g("sample", r"\b(?:ceci est|voici) un (?:texte|contenu) (?:d'exemple|de démonstration|factice)|\b(?:à remplacer|remplacez-le) par\b"),
+    _g("sample", r"\b(?:questo è un )?testo (?:di esempio|segnaposto|di prova)\b"),
+    _g("sample", r"\btexto de (?:ejemplo|prueba|relleno|muestra)\b"),
+    _g("sample", r"\börnek (?:metin|içerik)\b"),
+    _g("sample",
        r"\btest (?:entry|post|page|record|article|item)\b[^.\n]{0,40}\b(?:ignore|delete)|\bplease ignore\b[^.\n]{0,20}\bdelete me\b|\btesteintrag\b|\bdelete me\b"),
-    _g("sample", "lorem", r"\blorem\s+ipsum\b|\bipsum\s+lorem\b"),
-    _g("sample", "dolor sit amet|consectetur|adipiscing", r"\bdolor\s+sit\s+amet\b|\bconsectetur\s+adipiscing\b"),
-    _g("sample", "blindtext|fülltext|mustertext|beispieltext|dummy text|sample text|filler text|placeholder text", r"\b(blindtext|fülltext|mustertext|beispieltext|dummy text|sample text|filler text|placeholder text)(?:[ ,.!]+\1)+\b"),
-    _g("sample", "quick brown fox", r"\bquick brown fox jumps\b"),
+    _g("sample", r"\blorem\s+ipsum\b|\bipsum\s+lorem\b"),
+    _g("sample", r"\bdolor\s+sit\s+amet\b|\bconsectetur\s+adipiscing\b"),
+    _g("sample", r"\b(blindtext|fülltext|mustertext|beispieltext|dummy text|sample text|filler text|placeholder text)(?:[ ,.!]+\1)+\b"),
+    _g("sample", r"\bquick brown fox jumps\b"),
 )
 
 _REASONS = (
@@ -107,43 +179,43 @@ _REASONS = (
 
 # What servers and programs say when they fail, and their status codes.
 FAILURES = (
-    _g("error", "40|41|42|45|50|51|52", r"\b(?:4[0-5]\d|5[0-2]\d)\b\s*[-–—:|.]?\s*\(?(?:a |an |the |internal )?(?:" + _REASONS + r")\b"),
-    _g("error", "40|41|42|45|50|51|52", r"\b(?:http|status|code|error|erreur|errore|fehler|hata|fout|erro|błąd|ошибка|http[ /]?\d\.\d)(?:[ -](?:code|error|status))*\s*(?:=|:|#|nr\.|no\.)?\s*(?:4[0-5]\d|5[0-2]\d)\b(?=\s*(?:[:.\-–—<(\n]|$))"),
-    _g("error", "error", r"(?:^|[\s>])error\s+(?:4[0-5]\d|5[0-2]\d)\s*:\s*\w"),
-    _g("error", "whitelabel error", r"\bwhitelabel error page\b"),
-    _g("error", "<title>", r"<title>\s*(?:error|\d{3}\b|not found|access denied|fehler)"),
-    _g("error", "nginx|apache|gateway/|cloudflare|openresty|iis|varnish", r"\b(?:nginx|apache|gateway|openresty|varnish|cloudflare|microsoft-iis|lighttpd)/\d"),
-    _g("error", "traceback", r"\btraceback \(most recent call last\)"),
-    _g("error", "exception", r"\b(?:[a-z_]\w*\.)+\w*(?:exception|error)\b(?=[\s:(\n<]|$)|\bunhandled exception\b|\buncaught exception\b|\bexception in thread\b|\bstack ?trace:"),
-    _g("error", "error", r"(?:^|[\n>])\s*(?:key|value|type|name|attribute|index|import|runtime|syntax|reference|range|operational|programming|zerodivision|unicode(?:decode|encode)|os|io|memory)error:\s"),
-    _g("error", "fatal error|parse error|warning:", r"\b(?:fatal error|parse error|warning)\s*:\s*(?:uncaught|allowed memory|call to|maximum execution|undefined|cannot|require|include|syntax error|\w+\(\))"),
-    _g("error", ".java:|.py\"|.php on line|.php:|.js:", r"\bat [\w.$<>]+\(\w+\.java:\d+\)|\bfile \"[^\"\n]+\.py\", line \d+|\.php(?: on line |:)\d+|\bat \w[\w.$<>]* ?\(?[\w/.:-]+\.js:\d+:\d+"),
-    _g("error", "undefined is not|is not a function|cannot read propert|is undefined|null is not", r"\bundefined is not (?:an object|a function)\b|\bcannot read propert(?:y|ies)\b|\bnull is not an object\b|\bis not a function\b"),
-    _g("error", "segmentation fault|core dumped|out of memory|stack overflow|panic:", r"\bsegmentation fault\b|\bcore dumped\b|\bpanic: runtime error\b"),
-    _g("error", "connection|connect to|database|sqlstate|ora-|sql ", r"\b(?:database|mysql|sql|db|server)\s+(?:connection|query|error)\s*(?:failed|error|refused|lost|timed out|:)|\btoo many connections\b|\bconnection (?:refused|timed out|reset by peer)\b|\bsqlstate\[|\bora-\d{5}\b|\berror establishing a database connection\b|\bcould not connect to (?:the )?(?:database|server|host)\b|\bsyntax error in your sql\b|\byou have an error in your sql\b"),
-    _g("error", "on this server", r"\b(?:not|n't) (?:be )?(?:found|available|located)\s+on this server\b"),
-    _g("error", "permanently|moved|no longer|removed|deleted|does not exist|doesn't exist|exist",
+    _g("error", r"\b(?:4[0-5]\d|5[0-2]\d)\b\s*[-–—:|.]?\s*\(?(?:a |an |the |internal )?(?:" + _REASONS + r")\b"),
+    _g("error", r"\b(?:http|status|code|error|erreur|errore|fehler|hata|fout|erro|błąd|ошибка|http[ /]?\d\.\d)(?:[ -](?:code|error|status))*\s*(?:=|:|#|nr\.|no\.)?\s*(?:4[0-5]\d|5[0-2]\d)\b(?=\s*(?:[:.\-–—<(\n]|$))"),
+    _g("error", r"(?:^|[\s>])error\s+(?:4[0-5]\d|5[0-2]\d)\s*:\s*\w"),
+    _g("error", r"\bwhitelabel error page\b"),
+    _g("error", r"<title>\s*(?:error|\d{3}\b|not found|access denied|fehler)"),
+    _g("error", r"\b(?:nginx|apache|gateway|openresty|varnish|cloudflare|microsoft-iis|lighttpd)/\d"),
+    _g("error", r"\btraceback \(most recent call last\)"),
+    _g("error", r"\b(?:[a-z_]\w*\.)+\w*(?:exception|error)\b(?=[\s:(\n<]|$)|\bunhandled exception\b|\buncaught exception\b|\bexception in thread\b|\bstack ?trace:"),
+    _g("error", r"(?:^|[\n>])\s*(?:key|value|type|name|attribute|index|import|runtime|syntax|reference|range|operational|programming|zerodivision|unicode(?:decode|encode)|os|io|memory)error:\s"),
+    _g("error", r"\b(?:fatal error|parse error|warning)\s*:\s*(?:uncaught|allowed memory|call to|maximum execution|undefined|cannot|require|include|syntax error|\w+\(\))"),
+    _g("error", r"\bat [\w.$<>]+\(\w+\.java:\d+\)|\bfile \"[^\"\n]+\.py\", line \d+|\.php(?: on line |:)\d+|\bat \w[\w.$<>]* ?\(?[\w/.:-]+\.js:\d+:\d+"),
+    _g("error", r"\bundefined is not (?:an object|a function)\b|\bcannot read propert(?:y|ies)\b|\bnull is not an object\b|\bis not a function\b"),
+    _g("error", r"\bsegmentation fault\b|\bcore dumped\b|\bpanic: runtime error\b"),
+    _g("error", r"\b(?:database|mysql|sql|db|server)\s+(?:connection|query|error)\s*(?:failed|error|refused|lost|timed out|:)|\btoo many connections\b|\bconnection (?:refused|timed out|reset by peer)\b|\bsqlstate\[|\bora-\d{5}\b|\berror establishing a database connection\b|\bcould not connect to (?:the )?(?:database|server|host)\b|\bsyntax error in your sql\b|\byou have an error in your sql\b"),
+    _g("error", r"\b(?:not|n't) (?:be )?(?:found|available|located)\s+on this server\b"),
+    _g("error",
        r"\b(?:this|the|that|requested)\s+(?:requested\s+)?(?:page|file|url|resource|record|document|image(?: set)?|tablet|entry|edition|item|link|site|account|content|text|photo|article|map|catalogue|viewer|archive)\s+(?:you\b[^.\n]{0,40}\s)?(?:has been (?:permanently |temporarily )?(?:removed|deleted|moved)|(?:was|is) no longer available|no longer exists|does(?:n't| not) exist|may have been (?:moved|removed|deleted))"),
-    _g("error", "page|sorry|oops", r"\b(?:page|file|record|tablet|document|entry|resource) (?:you (?:requested|are looking for|were looking for|tried to open)|requested)\b[^.\n]{0,60}\b(?:not|no longer|n't|removed|moved)\b|\b(?:oops|sorry|whoops)\s*[!,.]+\s*(?:the|this|we|that|something|an?|page|nothing)\b|\bpage not found\b(?=\s*(?:[.!<|\n–-]|$))|\bpage (?:cannot|can't|could not|couldn't) be (?:found|displayed|loaded)\b"),
-    _g("error", "requested", r"\bthe requested\s+[\w ]{1,30}\s+(?:could not|cannot|was not|couldn't|can't|wasn't|is not)\s+(?:be )?(?:found|available|loaded|displayed|served)\b"),
-    _g("error", "unavailable|not available|maintenance|shortly|overloaded|offline", r"\b(?:service|server|site|website|page|system|application|catalogue|archive|viewer|edition|map|search|database) is (?:currently |temporarily |now )?(?:unavailable|not available|down|offline|overloaded|under maintenance)\b|\btemporarily unavailable\b|\bdown for (?:scheduled |planned |routine )?maintenance\b|\b(?:scheduled|undergoing|under) maintenance\b|\bwill be back (?:shortly|soon)\b|\bbe back (?:online )?(?:shortly|soon)\b"),
-    _g("error", "went wrong|unexpected error|error occurred|error has occurred|failed to load|unable to load|could not load|problem loading", r"\bsomething went wrong\b|\b(?:an? )?(?:unexpected|unknown|internal|fatal|application|server|client-side)(?: server)? (?:error|exception)(?: has)? occurred\b|\ban error (?:has )?occurred\b|\b(?:failed|unable) to load (?:the |this )?(?:page|resource|file|content|image|data|viewer|edition|tablet|record)\b|\bcould not load (?:the |this )?(?:page|resource|file|content|viewer|data)\b"),
-    _g("error", "session|expired", r"\b(?:session|link|token|login) (?:has |is )?expired\b"),
-    _g("error", "access denied|permission|not authorized|not authorised|log in|sign in|forbidden|refused", r"(?:^|[\n>.:!]\s*)access (?:is |was )?denied\b(?=\s*(?:[.!:<\n(-]|$))|\b(?:don't|do not|not) have (?:the |sufficient |enough )?(?:permission|rights|access)s? to (?:access|view|open|see|read)\b|\b(?:not|n't) (?:authori[sz]ed|allowed|permitted) to (?:access|view|open) this\b|\b(?:log|sign) in (?:again )?to (?:view|access|continue|see|read)\b|\bpermission denied\b(?=\s*(?:[.!:<\n(]|$))"),
-    _g("error", "try again|retry|reload|refresh", r"\b(?:please )?(?:try|retry)(?: again)? (?:again )?(?:later|in a few|in a moment|after \d+|shortly|soon)\b|\bretry after\b|\b(?:reload|refresh) (?:the|this) page(?: to| and)? (?:try again|retry)\b|\bslow down and (?:re)?try\b"),
-    _g("error", "too many requests|rate limit|unusual traffic|captcha|not a robot|are human|checking your browser|verify you", r"\btoo many requests\b|\brate limit(?:ed)? (?:exceeded|reached)\b|\bunusual traffic from\b|\bcaptcha\b|\bnot a robot\b|\byou are human\b|\bchecking your browser\b|\bverify(?:ing)? you are\b"),
-    _g("error", "did not answer|not respond|timed out|took too long", r"\b(?:server|host|gateway|upstream|service)(?: server)? (?:did not|didn't|took too long to|failed to) (?:answer|respond|reply)\b|\b(?:session|request|connection|operation|query) (?:has )?timed out\b"),
-    _g("error", "start page|home page|homepage", r"\b(?:go back|return|back) to (?:the |our )?(?:start page|home ?page|front page)\b"),
-    _g("error", "fehler|später erneut|existiert nicht|nicht gefunden|nicht verfügbar|verschoben|verweigert|wartung|angefordert|nicht erreichbar|berechtigung",
+    _g("error", r"\b(?:page|file|record|tablet|document|entry|resource) (?:you (?:requested|are looking for|were looking for|tried to open)|requested)\b[^.\n]{0,60}\b(?:not|no longer|n't|removed|moved)\b|\b(?:oops|sorry|whoops)\s*[!,.]+\s*(?:the|this|we|that|something|an?|page|nothing)\b|\bpage not found\b(?=\s*(?:[.!<|\n–-]|$))|\bpage (?:cannot|can't|could not|couldn't) be (?:found|displayed|loaded)\b"),
+    _g("error", r"\bthe requested\s+[\w ]{1,30}\s+(?:could not|cannot|was not|couldn't|can't|wasn't|is not)\s+(?:be )?(?:found|available|loaded|displayed|served)\b"),
+    _g("error", r"\b(?:service|server|site|website|page|system|application|catalogue|archive|viewer|edition|map|search|database) is (?:currently |temporarily |now )?(?:unavailable|not available|down|offline|overloaded|under maintenance)\b|\btemporarily unavailable\b|\bdown for (?:scheduled |planned |routine )?maintenance\b|\b(?:scheduled|undergoing|under) maintenance\b|\bwill be back (?:shortly|soon)\b|\bbe back (?:online )?(?:shortly|soon)\b"),
+    _g("error", r"\bsomething went wrong\b|\b(?:an? )?(?:unexpected|unknown|internal|fatal|application|server|client-side)(?: server)? (?:error|exception)(?: has)? occurred\b|\ban error (?:has )?occurred\b|\b(?:failed|unable) to load (?:the |this )?(?:page|resource|file|content|image|data|viewer|edition|tablet|record)\b|\bcould not load (?:the |this )?(?:page|resource|file|content|viewer|data)\b"),
+    _g("error", r"\b(?:session|link|token|login) (?:has |is )?expired\b"),
+    _g("error", r"(?:^|[\n>.:!]\s*)access (?:is |was )?denied\b(?=\s*(?:[.!:<\n(-]|$))|\b(?:don't|do not|not) have (?:the |sufficient |enough )?(?:permission|rights|access)s? to (?:access|view|open|see|read)\b|\b(?:not|n't) (?:authori[sz]ed|allowed|permitted) to (?:access|view|open) this\b|\b(?:log|sign) in (?:again )?to (?:view|access|continue|see|read)\b|\bpermission denied\b(?=\s*(?:[.!:<\n(]|$))"),
+    _g("error", r"\b(?:please )?(?:try|retry)(?: again)? (?:again )?(?:later|in a few|in a moment|after \d+|shortly|soon)\b|\bretry after\b|\b(?:reload|refresh) (?:the|this) page(?: to| and)? (?:try again|retry)\b|\bslow down and (?:re)?try\b"),
+    _g("error", r"\btoo many requests\b|\brate limit(?:ed)? (?:exceeded|reached)\b|\bunusual traffic from\b|\bcaptcha\b|\bnot a robot\b|\byou are human\b|\bchecking your browser\b|\bverify(?:ing)? you are\b"),
+    _g("error", r"\b(?:server|host|gateway|upstream|service)(?: server)? (?:did not|didn't|took too long to|failed to) (?:answer|respond|reply)\b|\b(?:session|request|connection|operation|query) (?:has )?timed out\b"),
+    _g("error", r"\b(?:go back|return|back) to (?:the |our )?(?:start page|home ?page|front page)\b"),
+    _g("error",
        r"\bein (?:unerwarteter |interner |unbekannter )?fehler (?:ist )?(?:aufgetreten|beim)|\bfehler aufgetreten\b|\bversuchen sie es (?:bitte )?(?:später|in \w+ \w+|noch ?einmal|erneut)\b|\bfehler(?:nummer|code|meldung)\s*:?\s*\d|\bangeforderte[nrs]? [\w-]+ (?:existiert|wurde|konnte|ist|kann)\b|\bseite (?:wurde )?(?:leider )?nicht gefunden\b|\b(?:dienst|server|seite|dienst|website) ist (?:derzeit|zurzeit|momentan|vorübergehend) nicht (?:verfügbar|erreichbar)\b|\bzugriff (?:wurde )?verweigert\b|\bwartungsarbeiten\b|\bkeine berechtigung\b|\binterner serverfehler\b|\bserverfehler\b"),
-    _g("error", "erreur|introuvable|n'existe|n’existe|indisponible|réessayer|refusé|plus tard|maintenance", r"\berreur (?:\d{3}|interne|inattendue|serveur|du serveur|s'est produite|est survenue)|\b(?:page|ressource|fiche|notice|tablette) (?:demandée )?(?:n['’]existe (?:pas|plus)|(?:est )?introuvable|non trouvée)|\bveuillez réessayer\b|\bréessayer plus tard\b|\bservice (?:est )?(?:temporairement )?indisponible\b|\baccès (?:est )?refusé\b|\bune erreur (?:est survenue|s['’]est produite)"),
-    _g("error", "errore|riprovare|riprova|pagina non|non trovat|non disponibile|negato", r"\berrore (?:\d{3}|interno|imprevisto|del server|di sistema)|\briprova(?:re)? più tardi\b|\bpagina (?:richiesta )?non (?:trovata|esiste|disponibile)\b|\bservizio (?:temporaneamente )?non disponibile\b|\baccesso negato\b|\bsi è verificato un errore\b"),
-    _g("error", "error|página|pagina|inténtelo|denegado|disponible|negado|erro ", r"\berror (?:interno|inesperado) del servidor\b|\berror interno\b|\bha ocurrido un error\b|\bse (?:ha )?produ(?:jo|cido) un error\b|\bpágina (?:solicitada )?no (?:encontrada|existe|disponible)\b|\bno se (?:ha )?(?:encontró|encontrado|pudo encontrar) la página\b|\bint[eé]ntelo (?:de nuevo|más tarde)\b|\bacceso denegado\b|\bservicio no disponible\b|\berro interno do servidor\b|\bocorreu um erro\b|\bpágina não encontrada\b|\btente novamente\b|\bacesso negado\b"),
-    _g("error", "bulunamadı|hata|silinmiş|tekrar deneyin|reddedildi|kullanılamıyor|erişim", r"\b(?:sayfa|kayıt|dosya|belge) bulunamadı|\bhata kodu\b|\bbir hata oluştu\b|\bsilinmiş olabilir\b|\b(?:daha sonra )?tekrar deneyin\b|\berişim reddedildi\b|\bhizmet (?:şu anda )?kullanılamıyor\b|\bsunucu hatası\b"),
-    _g("error", "niet gevonden|er is een fout|probeer het|geen toegang|nie znaleziono|wystąpił błąd|spróbuj ponownie|ошибка|не найдена|попробуйте|страница", r"\bpagina niet gevonden\b|\ber is een fout opgetreden\b|\bprobeer het (?:later )?opnieuw\b|\bgeen toegang\b|\bnie znaleziono strony\b|\bwystąpił błąd\b|\bspróbuj ponownie\b|страница не найдена|произошла ошибка|ошибка сервера|попробуйте (?:позже|ещё раз)|внутренняя ошибка"),
+    _g("error", r"\berreur (?:\d{3}|interne|inattendue|serveur|du serveur|s'est produite|est survenue)|\b(?:page|ressource|fiche|notice|tablette) (?:demandée )?(?:n['’]existe (?:pas|plus)|(?:est )?introuvable|non trouvée)|\bveuillez réessayer\b|\bréessayer plus tard\b|\bservice (?:est )?(?:temporairement )?indisponible\b|\baccès (?:est )?refusé\b|\bune erreur (?:est survenue|s['’]est produite)"),
+    _g("error", r"\berrore (?:\d{3}|interno|imprevisto|del server|di sistema)|\briprova(?:re)? più tardi\b|\bpagina (?:richiesta )?non (?:trovata|esiste|disponibile)\b|\bservizio (?:temporaneamente )?non disponibile\b|\baccesso negato\b|\bsi è verificato un errore\b"),
+    _g("error", r"\berror (?:interno|inesperado) del servidor\b|\berror interno\b|\bha ocurrido un error\b|\bse (?:ha )?produ(?:jo|cido) un error\b|\bpágina (?:solicitada )?no (?:encontrada|existe|disponible)\b|\bno se (?:ha )?(?:encontró|encontrado|pudo encontrar) la página\b|\bint[eé]ntelo (?:de nuevo|más tarde)\b|\bacceso denegado\b|\bservicio no disponible\b|\berro interno do servidor\b|\bocorreu um erro\b|\bpágina não encontrada\b|\btente novamente\b|\bacesso negado\b"),
+    _g("error", r"\b(?:sayfa|kayıt|dosya|belge) bulunamadı|\bhata kodu\b|\bbir hata oluştu\b|\bsilinmiş olabilir\b|\b(?:daha sonra )?tekrar deneyin\b|\berişim reddedildi\b|\bhizmet (?:şu anda )?kullanılamıyor\b|\bsunucu hatası\b"),
+    _g("error", r"\bpagina niet gevonden\b|\ber is een fout opgetreden\b|\bprobeer het (?:later )?opnieuw\b|\bgeen toegang\b|\bnie znaleziono strony\b|\bwystąpił błąd\b|\bspróbuj ponownie\b|страница не найдена|произошла ошибка|ошибка сервера|попробуйте (?:позже|ещё раз)|внутренняя ошибка"),
 )
 
-_SCRIPT = r"(?:java ?scripts?|js)"
+_SCRIPT = r"(?:java ?scripts?|\bjs\b)"
 _NEED = (
     r"enabl\w*|activ\w*|turn(?:ed)? on|turn(?:ed)? off|switch\w*|requir\w*|need\w*|must|allow\w*|disabl\w*|block\w*|without|support\w*|unavailable|off\b"
     r"|aktivier\w*|eingeschaltet|einschalten|einzuschalten|erforderlich|benötig\w*|deaktivier\w*|ausgeschaltet|zulassen|notwendig|voraus"
@@ -154,12 +226,12 @@ _NEED = (
 
 # Notices that scripts or cookies are needed.
 NOTICES = (
-    _g("notice", "javascript|java script", _SCRIPT + r"[^.\n]{0,80}?(?:" + _NEED + r")|(?:" + _NEED + r")[^.\n]{0,80}?" + _SCRIPT),
-    _g("notice", "javascript", r"javascript"),
-    _g("notice", "noscript", r"<noscript\b"),
-    _g("notice", "cookie", r"\bcookies?\b[^.\n]{0,60}?(?:" + _NEED + r"|accept\w*|akzept\w*|accett\w*|acept\w*|consent\w*|zustimm\w*|uses?\b|verwende\w*|utilis\w*)|(?:" + _NEED + r"|accept\w*|akzept\w*|uses?\b|verwende\w*|utilis\w*)[^.\n]{0,60}?\bcookies?\b"),
-    _g("notice", "script", r"\b(?:application|app|site|page|viewer|edition|catalogue|browser|map|search|website|tool|archive)\b[^.\n]{0,60}\b(?:requires?|needs?|blocks?|blocked|must allow|does not (?:allow|support|run))\s+(?:client-side )?script(?:s|ing)\b|\bscripts? (?:must|have to|need to) be (?:allowed|enabled|active|activated|switched on|turned on)\b|\b(?:enable|allow|activate|turn on|switch on|unblock) (?:client-side )?script(?:s|ing)\b|\bwithout (?:client-side )?scripting\b|\bscript(?:s|ing) (?:is|are) (?:disabled|blocked|switched off|turned off|required)\b(?=[^.\n]{0,40}\b(?:browser|page|site|application))|\bskripte? (?:müssen|sind)\b[^.\n]{0,40}\b(?:zugelassen|aktiviert|deaktiviert|erforderlich|erlaubt)\b"),
-    _g("notice", "your browser|ihr browser|votre navigateur|il tuo browser|su navegador|tarayıcı", r"\byour browser (?:has|does not|doesn't|is|must|needs|blocks|will not|cannot|settings)\b|\b(?:update|upgrade) your browser\b|\bihr browser\b|\bvotre navigateur\b|\b(?:il tuo|il vostro|del) browser\b|\bsu navegador\b|\btarayıcınız\w*"),
+    _g("notice", _SCRIPT + r"[^.\n]{0,80}?(?:" + _NEED + r")|(?:" + _NEED + r")[^.\n]{0,80}?" + _SCRIPT),
+    _g("notice", r"javascript"),
+    _g("notice", r"<noscript\b"),
+    _g("notice", r"\bcookies?\b[^.\n]{0,60}?(?:" + _NEED + r"|accept\w*|akzept\w*|accett\w*|acept\w*|consent\w*|zustimm\w*|uses?\b|verwende\w*|utilis\w*)|(?:" + _NEED + r"|accept\w*|akzept\w*|uses?\b|verwende\w*|utilis\w*)[^.\n]{0,60}?\bcookies?\b"),
+    _g("notice", r"\b(?:application|app|site|page|viewer|edition|catalogue|browser|map|search|website|tool|archive)\b[^.\n]{0,60}\b(?:requires?|needs?|blocks?|blocked|must allow|does not (?:allow|support|run))\s+(?:client-side )?script(?:s|ing)\b|\bscripts? (?:must|have to|need to) be (?:allowed|enabled|active|activated|switched on|turned on)\b|\b(?:enable|allow|activate|turn on|switch on|unblock) (?:client-side )?script(?:s|ing)\b|\bwithout (?:client-side )?scripting\b|\bscript(?:s|ing) (?:is|are) (?:disabled|blocked|switched off|turned off|required)\b(?=[^.\n]{0,40}\b(?:browser|page|site|application))|\bskripte? (?:müssen|sind)\b[^.\n]{0,40}\b(?:zugelassen|aktiviert|deaktiviert|erforderlich|erlaubt)\b"),
+    _g("notice", r"\byour browser (?:has|does not|doesn't|is|must|needs|blocks|will not|cannot|settings)\b|\b(?:update|upgrade) your browser\b|\bihr browser\b|\bvotre navigateur\b|\b(?:il tuo|il vostro|del) browser\b|\bsu navegador\b|\btarayıcınız\w*"),
 )
 
 # Pseudo-Latin filler and keyboard runs; they count only in dense runs.
@@ -211,6 +283,7 @@ def _explained(text: str, at: int, end: int) -> bool:
 
 _GRAMMARS = FIELDS + SAMPLES + FAILURES + NOTICES
 _FILLER = len(_GRAMMARS)
+_FREE = frozenset(i for i, g in enumerate(_GRAMMARS) if not g.anchors)
 
 
 def _automaton():
@@ -239,11 +312,11 @@ def residue_kind(text: str | None) -> str | None:
         return None
     if not _made:
         _made.append(_automaton())
-    low = text.lower()
-    called = {of for _, of in _made[0].iter(low)}
+    low = fold(text)
+    called = _FREE.union(*{of for _, of in _made[0].iter(low)})
     if called:
         coded = "`" in text or "~~~" in text or "<code" in low or "<pre" in low
-        for i in sorted(frozenset().union(*called)):
+        for i in sorted(called):
             if i == _FILLER:
                 if _dense(low):
                     return "filler"
