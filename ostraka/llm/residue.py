@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -350,18 +351,17 @@ def residue_kind(text: str | None) -> str | None:
                 hidden += m.end() - m.start()
             if hidden > 0.5 * len(text.strip()):
                 return g.kind  # so dense that no explanation is left
-    return "filler" if _dense(_WORDS.findall(low)) or _repeats(text) else None
+    words = _WORDS.findall(low)
+    return "filler" if _dense(words) or _repeats(text, words) else None
 
 
-def _repeats(text: str) -> bool:
-    """One word, or pair of words, five times in a row and more; worn signs do not count."""
-    # such a text has few distinct words somewhere: see that over stretches before the grammar is tried
-    words = text.split()
-    for s in range(0, len(words) - 4, 3):
-        few = {words[s], words[s + 1], words[s + 2]}
-        if len(few) <= 2 and not few & {"x", "<NUM>"} and _REPEATED.search(text):
-            return True
-    return False
+def _repeats(text: str, words: list[str]) -> bool:
+    """One word, or pair of words, five times in a row and more; worn signs do not count.
+
+    ``words`` are those of the folded text. In any such run three words on end equal the next but
+    one, whatever stands between them; only texts where they do are put to the grammar.
+    """
+    return b"\1\1\1" in bytes(map(eq, words, words[2:])) and _REPEATED.search(text) is not None
 
 
 def residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
