@@ -122,4 +122,4 @@ def codepoint_class(c: Column) -> Column:
     """Class of a single character by its code point."""
     cp = F.ascii(c)
     return (F.when(cp < 0x80, "ascii").when(cp < 0x100, "latin1").when(cp < 0x250, "latin_extended").when((cp >= 0x300) & (cp < 0x370), "combining")
-            .when((cp >= 0x2000) & (cp < 0x2070), "punctuation").when((cp >= 0x2080) & (cp < 0x20A0), "subscript").when((cp >= 0x12000) & (cp < 0x12550), "cuneiform").otherwise("other"))
+            .when((cp >= 0x2000) & (cp < 0x2070), "punctuation").when((cp >= 0x2080) & (cp < 0x20A0), "subscript").when((cp >= 0x12000) & (cp < 0x12550), "wedge_sign").otherwise("other"))

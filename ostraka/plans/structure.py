@@ -140,7 +140,7 @@ SQL = {
     "parser_oracle": f"WITH {_ST}, o AS (SELECT doc_id, length(text) - length(replace(text, '[', '')) AS opens FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, count(*) FILTER (state = 'restored') AS restored FROM ws GROUP BY doc_id), "
                      "b AS (SELECT opens, coalesce(restored, 0) AS restored FROM o LEFT JOIN p USING (doc_id)) SELECT count(*) AS documents, count(*) FILTER (opens = restored) AS equal, round(avg(abs(opens - restored)), 6) AS mean_difference, round(corr(opens, restored), 6) AS correlation FROM b",
     "codepoint_classes": "WITH c AS (SELECT unicode(unnest(string_split(text, ''))) AS cp FROM documents WHERE text IS NOT NULL AND text <> '') SELECT CASE WHEN cp < 128 THEN 'ascii' WHEN cp < 256 THEN 'latin1' WHEN cp < 592 THEN 'latin_extended' WHEN cp BETWEEN 768 AND 879 THEN 'combining' "
-                         "WHEN cp BETWEEN 8192 AND 8303 THEN 'punctuation' WHEN cp BETWEEN 8320 AND 8351 THEN 'subscript' WHEN cp BETWEEN 73728 AND 75087 THEN 'cuneiform' ELSE 'other' END AS class, count(*) AS characters FROM c GROUP BY 1",
+                         "WHEN cp BETWEEN 8192 AND 8303 THEN 'punctuation' WHEN cp BETWEEN 8320 AND 8351 THEN 'subscript' WHEN cp BETWEEN 73728 AND 75087 THEN 'wedge_sign' ELSE 'other' END AS class, count(*) AS characters FROM c GROUP BY 1",
     "schema_census": "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\\{\\p{L}+\\}|<[A-Za-z]+>)', 1)) AS tag FROM documents WHERE text IS NOT NULL) SELECT tag, count(*) AS instances, count(DISTINCT doc_id) AS documents FROM t GROUP BY tag",
     "site_prefixes": "WITH c AS (SELECT string_split(doc_id, ' ')[1] AS prefix, site, count(*) AS n FROM splits WHERE site IS NOT NULL GROUP BY ALL) SELECT prefix, arg_min(site, {'m': -n, 's': site}) AS site, max(n) AS n, CAST(sum(n) AS BIGINT) AS rows FROM c GROUP BY prefix",
     "relation_bases": "WITH p AS (SELECT DISTINCT pair_id, join_type, tier, fragment_id_a, fragment_id_b FROM join_pairs), s AS (SELECT *, coalesce(string_split(fragment_id_a, '::')[1] = string_split(fragment_id_b, '::')[1], false) AS adj FROM p) "

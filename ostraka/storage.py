@@ -2,7 +2,9 @@
 
 Iterative operators write what the next step reads as Parquet below ``spark.checkpoint.dir``,
 the folder all executors share. A lost executor then costs a re-read, never a recomputation
-of earlier rounds, and the driver only ever holds file listings.
+of earlier rounds, and the driver only ever holds file listings. Results are lazy and read these
+tables, so they stay until the caller, who knows when a result is consumed, leaves ``scratch_scope``
+or calls ``release``; what is left goes at exit.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +57,27 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(keep: frozenset[str] = frozenset()) -> None:
+    """Delete all written tables but those of the runs named in ``keep``; results that read them are void."""
+    for root in [r for r in _live if r not in keep]:
+        spark = _live.pop(root)
+        if not spark._jsc.sc().isStopped():
+            _delete(spark, root)
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Tables written inside are deleted at the end: consume results before leaving."""
+    before = frozenset(_live)
+    try:
+        yield
+    finally:
+        release(before)
+
+
 @atexit.register
 def _clean() -> None:
-    for root, spark in _live.items():
-        try:
-            if spark._jsc.sc().isStopped() is False:
-                _delete(spark, root)
-        except Exception:  # noqa: BLE001 - the JVM may already be gone at exit
-            pass
+    try:
+        release()
+    except Exception:  # noqa: BLE001 - the JVM may already be gone at exit
+        pass
