@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.strings import trimmed
+
 LABELS = ("train", "dev", "test", "discovery")
 #: Evidence classes in interpretive order, the least interpretive first.
 EVIDENCE = ("DIRECT_OBSERVATION", "SOURCE_METADATA", "EDITORIAL", "CATALOG_ASSISTED", "MODEL_DERIVED")
 
 
 def clean_label(c: Column) -> Column:
-    return F.nullif(F.lower(F.trim(c)), F.lit(""))
+    return F.lower(trimmed(c))
 
 
 def size_band(n: Column) -> Column:
