@@ -21,25 +21,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import trimmed
 from ..storage import Scratch
 
+#: Rounds shrink the vertices by a constant factor, so this is never reached by a graph that fits on disks.
 MAX_ROUNDS = 200
 
 
-def _blank_free(c: Column) -> Column:
-    """The id without outer white space; an id of white space only is no id."""
-    t = F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
-    return F.when(t != "", t)
+def _mix(seed: int, c: Column) -> Column:
+    return F.xxhash64(F.lit(seed), c)
 
 
-def _mix(seed: int, c: Column) -> Column:
+def _name(seed: int, c: Column) -> Column:
+    """The 64-bit name of a vertex known by a string."""
     return F.xxhash64(F.lit(seed), c)
 
 
 def contract(edges: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame | None:
-    """(v, label) for all vertices of ``edges`` (a long, b long; no loops), label equal within a component.
+    """(v, round, label) for all vertices of ``edges`` (a long, b long; no loops).
 
-    None when there is no edge. ``edges`` is read twice, so it should be a written table.
+    Two vertices are linked exactly when round and label are equal. Labels of one round are images
+    of distinct vertices under one bijection; those of different rounds may be equal by chance and
+    are told apart by the round. None when there is no edge. ``edges`` is read twice, so it should
+    be a written table.
     """
     maps: list[DataFrame] = []
     for r in range(MAX_ROUNDS):
@@ -63,13 +67,22 @@ def contract(edges: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame | N
         raise RuntimeError(f"{MAX_ROUNDS} rounds of contraction left edges")
     if not maps:
         return None
-    labels = maps[-1].select("v", F.col("rep").alias("label"))
-    for hook in reversed(maps[:-1]):
-        later = labels.select(F.col("v").alias("rep"), "label")
-        labels = hook.join(later, "rep", "left").select("v", F.coalesce("label", "rep").alias("label"))
+    labels = maps[-1].select("v", F.lit(len(maps) - 1).alias("round"), F.col("rep").alias("label"))
+    for r in reversed(range(len(maps) - 1)):
+        later = labels.select(F.col("v").alias("rep"), "round", "label")
+        labels = maps[r].join(later, "rep", "left").select("v", F.coalesce("round", F.lit(r)).alias("round"), F.coalesce("label", "rep").alias("label"))
     return labels
 
 
+def _numbered(pairs: DataFrame, ids: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges with running numbers for names: always distinct, at the price of two joins on the ids."""
+    vertices = scratch.cut(ids.select(F.monotonically_increasing_id().alias("v"), "name"), "numbers")
+    left = vertices.select(F.col("name").alias("x"), F.col("v").alias("vx"))
+    right = vertices.select(F.col("name").alias("y"), F.col("v").alias("vy"))
+    met = pairs.join(left, "x").join(right, "y")
+    return vertices, met.select(F.least("vx", "vy").alias("a"), F.greatest("vx", "vy").alias("b")).distinct()
+
+
 def group_ids(links: DataFrame, a: str, b: str, seed: int = 1) -> DataFrame:
     """(fragment_id, group_id): each distinct id in ``a`` or ``b`` with the smallest id of its group.
 
@@ -78,35 +91,28 @@ def group_ids(links: DataFrame, a: str, b: str, seed: int = 1) -> DataFrame:
     in both directions, repeated links and links of an id with itself change nothing. Ids
     compare by code point. An empty table gives no rows. Other columns, whatever their names,
     are not read.
+
+    Vertices are named by a 64-bit hash of their id, which saves the joins of edges with a table of
+    numbers. Names are checked, never trusted: where two ids share one, as some will among 1e10,
+    all ids are numbered instead.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "groups")
-    pairs = links.select(_blank_free(F.col(a).cast("string")).alias("x"), _blank_free(F.col(b).cast("string")).alias("y"))
-    for attempt in range(8):
-        named = _mix(seed + 1000 * attempt, F.col("name"))
-        ids = pairs.select(F.explode(F.array("x", "y")).alias("name")).where("name is not null")
-        vertices = scratch.cut(
-            ids.groupBy(named.alias("v")).agg(F.min("name").alias("name"), F.max("name").alias("other")), f"vertices{attempt}"
-        )
-        if vertices.where("name <> other").isEmpty():  # 64-bit names are checked, never trusted
-            break
-        scratch.drop(f"vertices{attempt}")
+    pairs = links.select(trimmed(F.col(a).cast("string")).alias("x"), trimmed(F.col(b).cast("string")).alias("y"))
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("name")).where("name is not null")
+    # distinct over (name, hash) and counts over longs are hash aggregations; min and max of strings would sort
+    vertices = scratch.cut(ids.select(_name(seed, F.col("name")).alias("v"), "name").distinct(), "vertices")
+    linked = pairs.where("x is not null and y is not null and x <> y")
+    if vertices.groupBy("v").count().where("count > 1").isEmpty():
+        hx, hy = _name(seed, F.col("x")), _name(seed, F.col("y"))
+        drawn = linked.select(F.least(hx, hy).alias("a"), F.greatest(hx, hy).alias("b")).distinct()
     else:
-        raise RuntimeError("no seed gives distinct 64-bit names to all ids")
-    hx, hy = _mix(seed + 1000 * attempt, F.col("x")), _mix(seed + 1000 * attempt, F.col("y"))
-    edges = scratch.cut(
-        pairs.where("x is not null and y is not null and x <> y")
-        .select(F.least(hx, hy).alias("a"), F.greatest(hx, hy).alias("b")).distinct(), "edges"
-    )
-    labels = contract(edges, scratch, seed)
+        vertices, drawn = _numbered(linked, vertices.select("name"), scratch)
+    labels = contract(scratch.cut(drawn, "edges"), scratch, seed)
     if labels is None:
         return vertices.select(F.col("name").alias("fragment_id"), F.col("name").alias("group_id"))
-    tagged = scratch.cut(
-        vertices.select("v", "name").join(labels, "v", "left").select("name", F.coalesce("label", "v").alias("label"), F.col("label").isNotNull().alias("linked")),
-        "tagged",
-    )
-    # a label is a hash of another round than a lone vertex's own name: keep the two apart
-    least = tagged.where("linked").groupBy("label").agg(F.min("name").alias("group_id"))
-    grouped = tagged.where("linked").join(least, "label").select(F.col("name").alias("fragment_id"), "group_id")
-    lone = tagged.where("not linked").select(F.col("name").alias("fragment_id"), F.col("name").alias("group_id"))
+    tagged = scratch.cut(vertices.join(labels, "v", "left").select("name", "round", "label"), "tagged")
+    least = tagged.where("label is not null").groupBy("round", "label").agg(F.min("name").alias("group_id"))
+    grouped = tagged.where("label is not null").join(least, ["round", "label"]).select(F.col("name").alias("fragment_id"), "group_id")
+    lone = tagged.where("label is null").select(F.col("name").alias("fragment_id"), F.col("name").alias("group_id"))
     return grouped.unionByName(lone)

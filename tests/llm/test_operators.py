@@ -6,6 +6,7 @@ import unicodedata
 import numpy as np
 import pytest
 
+from ostraka.storage import Scratch
 from ostraka.llm import components, encode, leaks, overlap, residue, spans, splits
 
 
@@ -98,6 +99,23 @@ def test_groups_of_nothing(spark):
     assert {tuple(r) for r in components.group_ids(lone, "a", "b").collect()} == {("x", "x"), ("y", "y")}
 
 
+def test_equal_labels_of_two_rounds_stay_apart(spark, monkeypatch, tmp_path):
+    # names that only shift: the chain 1-2-3-4 ends in round 2 under 43, the pair 43-44 in round 0 under 43
+    monkeypatch.setattr(components, "_mix", lambda seed, c: c + 14 * seed)
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (43, 44)], "a long, b long")
+    got = {r.v: (r.round, r.label) for r in components.contract(edges, Scratch(spark, "t"), 0).collect()}
+    assert {v: x[1] for v, x in got.items()} == {v: 43 for v in (1, 2, 3, 4, 43, 44)}
+    assert len({got[v] for v in (1, 2, 3, 4)}) == 1 and len({got[v] for v in (43, 44)}) == 1 and got[1] != got[43]
+
+
+def test_names_that_collide_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(components, "_name", lambda seed, c: components.F.pmod(components.F.xxhash64(c), components.F.lit(4)))
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(20)] + [("p", "q"), ("r", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = dict(tuple(r) for r in components.group_ids(df, "a", "b").collect())
+    assert got == _union([p for p in pairs if p[1]], {x for p in pairs for x in p if x})
+
+
 # --- p3 ------------------------------------------------------------------------------------
 
 _SPLITS = "doc_id string, cth int, site string, is_bin boolean, main_split string"
@@ -135,6 +153,24 @@ def test_assignment_keeps_groups_and_proportions(spark):
     assert splits.assign(spark.createDataFrame([], _SPLITS)).count() == 0
 
 
+def test_rare_sites_are_balanced_together(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_LABELS", 2)
+    rng = random.Random(6)
+    rows = [(f"d{i}", i // 5, rng.choice(["a", "b"]) if i % 2 else f"rare{i % 40}", False, None) for i in range(1200)]
+    df = spark.createDataFrame(rows, _SPLITS)
+    out = {r.doc_id: r.split for r in splits.assign(df).collect()}
+    rare = [out[r[0]] for r in rows if r[2].startswith("rare")]
+    assert abs(rare.count("train") / len(rare) - 0.8) < 0.02 and abs(rare.count("test") / len(rare) - 0.1) < 0.02
+
+
+def test_balance_sees_what_is_wrong(spark):
+    rows = [("d1", 1, "s", False, None), ("d1", 2, "s", False, None), ("d2", 9, "s", True, None), ("d3", 3, "s", False, None)]
+    df = spark.createDataFrame(rows, _SPLITS)
+    bad = spark.createDataFrame([("d1", 1, "train"), ("d1", 2, "dev"), ("d2", 9, "train"), ("d3", 3, "train")], "doc_id string, cth int, split string")
+    r = splits.balance(df, bad).first()
+    assert (r.rows, r.divided, r.misplaced, r.balanced) == (4, 1, 1, False)
+
+
 # --- p5 ------------------------------------------------------------------------------------
 
 
@@ -270,7 +306,7 @@ CLEAN = [
     None, "", "  \n", "{d}ḫa-šu {KUR}Pišas <NUM> x x x x x x x [x x x] ⸢lu⸣", "The form $180 in the old notes is a price mark, not a sign.",
     "The joining piece was not found in depot 3, and the entry is left open.", "Server is the title given to cupbearers; 36 of them are named.",
     "Filler words such as nu are 60% of this text.", "The colophon is a template in which only the name was filled in by the scribe.",
-    "Access to the room was denied to the envoy for 89 days.", "Cuneiform script is required for the index; we give only the numbers 215 and 503.",
+    "Access to the room was denied to the envoy for 89 days.", "Wedge script is required for the index; we give only the numbers 215 and 503.",
     "This is a plain scribal error: a for b, as in line 404 of the composite.", "The set {w, nu, h} is complete after 12 lines; see page 404.",
     "In this tutorial the template syntax is explained: for example `{{ name }}` is replaced by the value of the variable when the page of the edition is rendered for the reader.",
 ]
