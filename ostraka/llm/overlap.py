@@ -1,18 +1,28 @@
-"""Same or near-same records across splits, by similarity-hash fingerprints joined in bit blocks.
+"""Same or near-same records across splits, by similarity-hash fingerprints joined in code blocks.
 
 Texts are normalised to token lists. Equal lists form one class, whatever number of records
-holds it. The fingerprint of a class has 512 bits: each distinct token but worn signs and numbers,
-which all texts share, adds its pseudo-random +1/-1 vector, and the sign of each sum is a bit, so
-two lists differ in a share of bits that grows with the angle between their token sets. The
-fingerprint is cut into 42 blocks of 12 bits; classes of the training split and of the evaluation
-splits that agree in a block meet, and the meeting is kept if the first 128 bits and then all 512
-lie within the Hamming radius. The survivors, almost all of them true, are compared token by
-token; links between classes are then expanded to the records.
-
-Why these widths: at a fifth of the tokens edited (the limit) two fingerprints differ in about a
-fifth of their bits, a block agrees with probability 0.8^12 = 0.07 and some block does with 0.95;
-at a tenth of the tokens edited some block agrees with 0.9999. Unrelated lists meet with 42/4096.
-The radii, 44 of 128 and 144 of 512 bits, are the limit's mean plus four standard deviations.
+holds it. The elements of a class are its tokens with their occurrence (the second "ki" is another
+element than the first), but for worn signs and numbers, which all texts share. Its fingerprint has
+``LANES`` lanes of 8 bits, each the low bits of the least element under a hash of its own (b-bit
+minwise hashing): a lane of two classes agrees with the share of elements they have in common
+(Jaccard), or by chance with 1/256. ``SEGMENT`` lanes side by side are a code block of 48 bits;
+classes of the training split and of the evaluation splits that agree in a block meet, the meeting
+is kept if the fingerprints' lowest bits lie within the Hamming radius, and what is left, almost all
+of it true, is compared token by token.
+
+Why these widths: replacing a fifth of the tokens (the limit) leaves a Jaccard of 0.8 / 1.2 = 0.667, a
+block agrees with 0.669^6 = 0.090 and one of 48 does with 0.989; at a tenth of the tokens 0.9999999.
+Unrelated lists, of whose elements a twentieth is common, agree in a block with 0.054^6 = 2.4e-8,
+so chance meetings stay far below the number of rows joined up to some 1e7 evaluation classes. The
+radius, 90 of 256 bits, is that of a Jaccard of one half plus four standard deviations: less is left
+only where all edits hit the telling tokens of a text mostly worn.
+
+That is a probability. ``exact=True`` finds candidates without one: a list within the limit of another
+has ``pieces`` of three tokens at least, one more than there can be edits, one of which stands in the
+other list, shifted by no more than the edits. It meets on every run of three tokens and costs more.
+
+Pairs of classes with the membership of classes are the scalable result (``class_links``); pairs of
+records are their expansion, and counts of pairs are taken from the classes.
 """
 
 from __future__ import annotations
@@ -28,9 +38,10 @@ from pyspark.sql import functions as F
 from ..functions.strings import WHITE, trimmed
 from ..storage import Scratch
 
-BITS, BLOCK_BITS, BLOCKS = 512, 12, 42
-RADIUS, FULL_RADIUS = 44, 144
-LANES = BITS // 64
+LANES, SEGMENT = 288, 6
+BLOCKS = LANES // SEGMENT
+SKETCH, RADIUS = 4, 90  # 64-bit words of lowest bits, and how many of these bits may differ
+PIECE = 3
 MIN_TOKENS, EDIT_SHARE = 12, 0.2
 #: Characters deleted before comparison, and tokens that do not count.
 _DELETED = str.maketrans("", "", "[]⸢⸣?!*#")
@@ -42,40 +53,52 @@ def normal_tokens(text: str) -> list[str]:
     return unicodedata.normalize("NFC", text).lower().translate(_DELETED).split()
 
 
-def _token_bits(tokens: list[str]) -> np.ndarray:
-    """(tokens, BITS) of +1 and -1: a fixed pseudo-random vector of each token."""
-    import xxhash
+def _elements(tokens: list[str]) -> list[tuple[str, int]]:
+    """Telling tokens, each with the number of its occurrence."""
+    seen: dict[str, int] = {}
+    out = []
+    for t in tokens:
+        if t not in _WORN:
+            seen[t] = k = seen.get(t, -1) + 1
+            out.append((t, k))
+    return out
+
+
+def _lane_constants() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20)
+    return rng.integers(0, 1 << 63, LANES, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, LANES, np.uint64)
+
 
-    seeds = np.array([xxhash.xxh3_64_intdigest(t) for t in tokens], np.uint64)
-    lanes = seeds[:, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-    with np.errstate(over="ignore"):
-        lanes = (lanes ^ (lanes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        lanes = (lanes ^ (lanes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        lanes = lanes ^ (lanes >> np.uint64(31))
-    return np.unpackbits(lanes.view(np.uint8), axis=1).astype(np.int16) * 2 - 1
+_TIMES, _PLUS = _lane_constants()
 
 
 def fingerprints(lists: list[list[str]]) -> np.ndarray:
-    """(lists, BITS) of 0 and 1: the fingerprint of each token list, of which none may be all worn."""
-    lists = [sorted(set(ts) - _WORN) for ts in lists]
-    number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(t, len(number)) for ts in lists for t in ts), np.int64)
-    bits = _token_bits(list(number))
-    starts = np.cumsum([0] + [len(ts) for ts in lists[:-1]])
-    out = np.empty((len(lists), BITS), np.uint8)
-    for a in range(0, len(lists), 256):
-        b = min(a + 256, len(lists))
-        lo, hi = starts[a], starts[b] if b < len(lists) else len(flat)
-        total = np.add.reduceat(bits[flat[lo:hi]], starts[a:b] - lo, axis=0, dtype=np.int32)
-        out[a:b] = total > 0
+    """(lists, LANES) of bytes: the fingerprint of each token list, of which none may be all worn."""
+    import xxhash
+
+    number: dict[tuple[str, int], int] = {}
+    parts = [[number.setdefault(e, len(number)) for e in _elements(ts)] for ts in lists]
+    seeds = np.array([xxhash.xxh3_64_intdigest(t, k) for t, k in number], np.uint64)
+    out = np.empty((len(lists), LANES), np.uint8)
+    for a in range(0, len(lists), 128):
+        some = parts[a:a + 128]
+        flat, starts = seeds[np.concatenate([np.array(p, np.int64) for p in some])], np.cumsum([0] + [len(p) for p in some[:-1]])
+        with np.errstate(over="ignore"):
+            lanes = flat[:, None] * _TIMES + _PLUS
+        least = np.minimum.reduceat((lanes >> np.uint64(32)).astype(np.uint32), starts, axis=0)
+        out[a:a + 128] = least & np.uint32(0xFF)
     return out
 
 
-def blocks_of(bits: np.ndarray) -> np.ndarray:
-    """(lists, BLOCKS) block codes, each with its block number in the high bits."""
-    weights = (1 << np.arange(BLOCK_BITS)).astype(np.int64)
-    cut = bits[:, :BLOCKS * BLOCK_BITS].reshape(len(bits), BLOCKS, BLOCK_BITS)
-    return cut @ weights + (np.arange(BLOCKS, dtype=np.int64) << BLOCK_BITS)[None, :]
+def blocks_of(prints: np.ndarray) -> np.ndarray:
+    """(lists, BLOCKS) codes of 48 bits, each with its block number in the high bits."""
+    weights = np.int64(1) << (8 * np.arange(SEGMENT, dtype=np.int64))
+    return prints.reshape(len(prints), BLOCKS, SEGMENT).astype(np.int64) @ weights + (np.arange(BLOCKS, dtype=np.int64) << (8 * SEGMENT))[None, :]
+
+
+def sketches(prints: np.ndarray) -> np.ndarray:
+    """(lists, SKETCH) words of the lowest bit of the first 64 * SKETCH lanes."""
+    return np.packbits(prints[:, :64 * SKETCH] & 1, axis=1).view(np.int64)
 
 
 def within_edits(a: list[str], b: list[str], most: int) -> bool:
@@ -115,38 +138,37 @@ def within_edits(a: list[str], b: list[str], most: int) -> bool:
 
 
 def _prepared(rows: DataFrame) -> DataFrame:
-    """(tablet, side, text, n, codes, f0, f1): normalised texts with enough tokens, with their fingerprints."""
+    """(tablet, side, text): normalised texts with enough tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tablets, sides, texts = (batch.column(i).to_pylist() for i in range(3))
             keep, lists = [], []
-            for i, t in enumerate(texts):
+            for i, t in enumerate(batch.column(2).to_pylist()):
                 ts = normal_tokens(t)
                 if sum(x not in _WORN for x in ts) >= MIN_TOKENS:
                     keep.append(i)
-                    lists.append(ts)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([tablets[i] for i in keep], pa.string()), pa.array([sides[i] for i in keep], pa.string()),
-                pa.array([" ".join(ts) for ts in lists], pa.string()),
-            ], ["tablet", "side", "text"])
+                    lists.append(" ".join(ts))
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lists, pa.string())], ["tablet", "side", "text"])
 
     return rows.mapInArrow(run, "tablet string, side string, text string")
 
 
 def _fingerprinted(classes: DataFrame) -> DataFrame:
+    """(cid, sides, text, codes, f0, ...) of the classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
                 part = batch.slice(s, 4096)
-                bits = fingerprints([t.split(" ") for t in part.column(2).to_pylist()])
-                codes = blocks_of(bits).astype(np.int32)
-                lanes = np.packbits(bits, axis=1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * BLOCKS, pa.int32()), pa.array(codes.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, *[pa.array(lanes[:, i].copy()) for i in range(LANES)]], ["cid", "sides", "text", "codes", *[f"f{i}" for i in range(LANES)]])
+                prints = fingerprints([t.split(" ") for t in part.column(2).to_pylist()])
+                words = sketches(prints)
+                codes = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * BLOCKS, pa.int32()), pa.array(blocks_of(prints).ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, codes, *[pa.array(words[:, i].copy()) for i in range(SKETCH)]], ["cid", "sides", "text", "codes", *[f"f{i}" for i in range(SKETCH)]])
 
-    lanes = ", ".join(f"f{i} bigint" for i in range(LANES))
-    return classes.select("cid", "sides", "text").mapInArrow(run, f"cid bigint, sides int, text string, codes array<int>, {lanes}")
+    words = ", ".join(f"f{i} bigint" for i in range(SKETCH))
+    return classes.select("cid", "sides", "text").mapInArrow(run, f"cid bigint, sides int, text string, codes array<bigint>, {words}")
 
 
 def _verified(pairs: DataFrame, share: float) -> DataFrame:
@@ -157,7 +179,7 @@ def _verified(pairs: DataFrame, share: float) -> DataFrame:
             for x, y in zip(left, right):
                 a, b = x.split(" "), y.split(" ")
                 good.append(within_edits(a, b, int(share * max(len(a), len(b)) + 1e-9)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["ca", "cb"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["ca", "cb"]).filter(pa.array(good, pa.bool_()))
 
     return pairs.mapInArrow(run, "ca bigint, cb bigint")
 
@@ -168,13 +190,64 @@ def tablet_labels(splits: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id", "label")
 
 
-def cross_split_pairs(failures: DataFrame, splits: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """(train_id, eval_id): tablets of train and of dev or test with an equal or nearly equal rendering.
+def _near(prints: DataFrame) -> DataFrame:
+    """(ca, cb): classes of train and of evaluation that agree in a code block, within the Hamming radius."""
+    block = prints.select("cid", "sides", F.explode("codes").alias("code"))
+    train = block.where("sides in (1, 3)").select("code", F.col("cid").alias("ca"))
+    evals = block.where("sides in (2, 3)").select("code", F.col("cid").alias("cb"))
+    # codes only on the rows that are shuffled many times over; bits and texts once a pair
+    met = train.join(evals, "code").where("ca <> cb").select("ca", "cb").distinct()
+    bits = [f"f{i}" for i in range(SKETCH)]
+    left = prints.select(F.col("cid").alias("ca"), F.col("text").alias("ta"), *[F.col(f).alias(f"a{f}") for f in bits])
+    right = prints.select(F.col("cid").alias("cb"), F.col("text").alias("tb"), *[F.col(f).alias(f"b{f}") for f in bits])
+    apart = " + ".join(f"bit_count(a{f} ^ b{f})" for f in bits)
+    return met.join(left, "ca").join(right, "cb").where(f"{apart} <= {RADIUS}").select("ca", "cb", "ta", "tb")
 
-    Each pair comes out once. Rows with a null doc_id or rendering, tablets with no or several
-    labels, and renderings of fewer than 12 tokens that are not worn signs or numbers take no
-    part. Near means at most ``share`` of the longer list's tokens inserted, deleted or
-    replaced. Empty tables give no rows; other columns are not read.
+
+def pieces(n: int, share: float) -> list[tuple[int, int]]:
+    """(start, length) of the disjoint pieces of a list of ``n`` tokens, one more than there can be edits.
+
+    The other list has at most n / (1 - share) tokens, so there are at most share * n / (1 - share) edits.
+    """
+    k = int(share * n / (1 - share) + 1e-9) + 1
+    return [(n * i // k, n * (i + 1) // k - n * i // k) for i in range(k)]
+
+
+def _surely_near(prints: DataFrame, share: float) -> DataFrame:
+    """``_near`` without a probability: some piece of the evaluation list stands in the training list, shifted by no more than the edits."""
+    width = max(1, int((1 - share) / share + 1e-9) - 1)  # the least length of a piece
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            cid, side, at, code, n = [], [], [], [], []
+            for c, sides, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ts = text.split(" ")
+                for s, starts in ((1, range(len(ts) - width + 1)), (2, [p for p, _ in pieces(len(ts), share)])):
+                    if sides & s:
+                        for p in starts:
+                            cid.append(c)
+                            side.append(s)
+                            at.append(p)
+                            n.append(len(ts))
+                            code.append(xxhash.xxh3_64_intdigest(" ".join(ts[p:p + width])) - (1 << 63))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cid, pa.int64()), pa.array(side, pa.int32()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(code, pa.int64())], ["cid", "side", "at", "n", "code"])
+
+    runs = prints.select("cid", "sides", "text").mapInArrow(cut, "cid bigint, side int, at int, n int, code bigint")
+    a = runs.where("side = 1").select("code", F.col("cid").alias("ca"), F.col("at").alias("pa"), F.col("n").alias("na"))
+    b = runs.where("side = 2").select("code", F.col("cid").alias("cb"), F.col("at").alias("pb"), F.col("n").alias("nb"))
+    most = F.floor(F.greatest("na", "nb") * share + 1e-9)
+    met = a.join(b, "code").where((F.col("ca") != F.col("cb")) & (F.abs(F.col("pa") - F.col("pb")) <= most) & (F.abs(F.col("na") - F.col("nb")) <= most)).select("ca", "cb").distinct()
+    return met.join(prints.select(F.col("cid").alias("ca"), F.col("text").alias("ta")), "ca").join(prints.select(F.col("cid").alias("cb"), F.col("text").alias("tb")), "cb").select("ca", "cb", "ta", "tb")
+
+
+def class_links(failures: DataFrame, splits: DataFrame, share: float = EDIT_SHARE, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(ca, cb) and (cid, class_id, tablet, side): links of a training class with an equal or near evaluation class, and who is in a class.
+
+    A class is one normalised text, named by its MD5. A class of both sides is linked with itself. The
+    links number what texts there are, however many records hold them.
     """
     scratch = Scratch(failures.sparkSession, "overlap")
     labels = tablet_labels(splits).select(
@@ -186,35 +259,64 @@ def cross_split_pairs(failures: DataFrame, splits: DataFrame, share: float = EDI
     sides = member.groupBy("text").agg(
         F.max((F.col("side") == "train").cast("int")).alias("t"), F.max((F.col("side") == "eval").cast("int")).alias("e"))
     classes = scratch.cut(sides.select(F.monotonically_increasing_id().alias("cid"), (F.col("t") + 2 * F.col("e")).alias("sides"), "text"), "classes")
-    prints = scratch.cut(_fingerprinted(classes), "prints")
-    block = prints.select("cid", "sides", "f0", "f1", F.explode("codes").alias("code"))
-    train = block.where("sides in (1, 3)").select("code", F.col("cid").alias("ca"), F.col("f0").alias("a0"), F.col("f1").alias("a1"))
-    evals = block.where("sides in (2, 3)").select("code", F.col("cid").alias("cb"), F.col("f0").alias("b0"), F.col("f1").alias("b1"))
-    near = train.join(evals, "code").where(
-        f"ca <> cb and bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {RADIUS}").select("ca", "cb").distinct()
-    left = prints.select(F.col("cid").alias("ca"), F.col("text").alias("ta"), *[F.col(f"f{i}").alias(f"a{i}") for i in range(LANES)])
-    right = prints.select(F.col("cid").alias("cb"), F.col("text").alias("tb"), *[F.col(f"f{i}").alias(f"b{i}") for i in range(LANES)])
-    apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(LANES))
-    pairs = near.join(left, "ca").join(right, "cb").where(f"{apart} <= {FULL_RADIUS}").select("ca", "cb", "ta", "tb")
-    links = _verified(pairs, share)
+    if exact:
+        pairs = _surely_near(classes, share)
+    else:
+        pairs = _near(scratch.cut(_fingerprinted(classes), "prints"))
     same = classes.where("sides = 3").select(F.col("cid").alias("ca"), F.col("cid").alias("cb"))
-    links = links.unionByName(same)
-    of = member.join(classes.select("cid", "text"), "text").select("cid", "tablet", "side")
+    links = scratch.cut(_verified(pairs, share).unionByName(same), "links")
+    of = member.join(classes.select("cid", "text"), "text").select("cid", F.md5("text").alias("class_id"), "tablet", "side")
+    return links, of
+
+
+def cross_split_pairs(failures: DataFrame, splits: DataFrame, share: float = EDIT_SHARE, exact: bool = False) -> DataFrame:
+    """(train_id, eval_id): tablets of train and of dev or test with an equal or nearly equal rendering.
+
+    Each pair comes out once. Rows with a null doc_id or rendering, tablets with no or several
+    labels, and renderings of fewer than 12 tokens that are not worn signs or numbers take no
+    part. Near means at most ``share`` of the longer list's tokens inserted, deleted or
+    replaced. Empty tables give no rows; other columns are not read.
+    """
+    links, of = class_links(failures, splits, share, exact)
     left = of.where("side = 'train'").select(F.col("cid").alias("ca"), F.col("tablet").alias("train_id"))
     right = of.where("side = 'eval'").select(F.col("cid").alias("cb"), F.col("tablet").alias("eval_id"))
     return links.join(left, "ca").join(right, "cb").select("train_id", "eval_id").distinct()
 
 
-def overlap_report(failures: DataFrame, splits: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
+def linked_classes(failures: DataFrame, splits: DataFrame, share: float = EDIT_SHARE, exact: bool = False) -> DataFrame:
+    """(doc_id, class_id, side, links): each tablet under the class of each of its renderings, with the number of classes of the other side linked to it."""
+    links, of = class_links(failures, splits, share, exact)
+    ends = links.select(F.explode(F.array(F.struct(F.col("ca").alias("cid"), F.lit("train").alias("side")), F.struct(F.col("cb").alias("cid"), F.lit("eval").alias("side")))).alias("e"))
+    counted = ends.groupBy("e.cid", "e.side").agg(F.count(F.lit(1)).alias("links"))
+    return of.join(counted, ["cid", "side"], "left").select(F.col("tablet").alias("doc_id"), "class_id", "side", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def overlap_report(failures: DataFrame, splits: DataFrame, share: float = EDIT_SHARE, exact: bool = False) -> DataFrame:
     """(eval_split, site, pairs, eval_tablets): cross-split overlaps per evaluation split and site of the evaluation tablet.
 
     A tablet that stands under several sites counts under each; one without a site under null.
+
+    Pairs are counted, not made: tablets with one class count by class (a text of n training and m
+    evaluation tablets is one product), and only tablets with several classes, whose pairs could come
+    twice, are told apart by name.
     """
-    pairs = cross_split_pairs(failures, splits, share)
-    label = tablet_labels(splits).select(F.col("doc_id").alias("eval_id"), F.col("label").alias("eval_split"))
-    sites = splits.select(F.col("doc_id").alias("eval_id"), "site").where("eval_id is not null").distinct()
+    links, of = class_links(failures, splits, share, exact)
+    of = of.select("cid", "tablet", "side")
+    held = of.groupBy("side", "tablet").agg(F.count(F.lit(1)).alias("classes"))
+    of = of.join(held, ["side", "tablet"])
+    train, evals = of.where("side = 'train'"), of.where("side = 'eval'")
+    label = tablet_labels(splits).select(F.col("doc_id").alias("tablet"), F.col("label").alias("eval_split"))
+    sites = splits.select(F.col("doc_id").alias("tablet"), "site").where("tablet is not null").distinct()
     known = sites.where("site is not null")
-    lone = sites.select("eval_id").distinct().join(known.select("eval_id").distinct(), "eval_id", "left_anti").withColumn("site", F.lit(None).cast("string"))
-    joined = pairs.join(label, "eval_id").join(known.unionByName(lone), "eval_id")
-    return joined.groupBy("eval_split", "site").agg(
-        F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("eval_tablets"))
+    lone = sites.select("tablet").distinct().join(known.select("tablet").distinct(), "tablet", "left_anti").withColumn("site", F.lit(None).cast("string"))
+    where = label.join(known.unionByName(lone), "tablet")
+    # training side of a link: so many tablets of the class alone, or one with a name
+    one = train.where("classes = 1").groupBy(F.col("cid").alias("ca")).agg(F.count(F.lit(1)).alias("n")).select("ca", F.lit(None).cast("string").alias("name"), "n")
+    many = train.where("classes > 1").select(F.col("cid").alias("ca"), F.col("tablet").alias("name"), F.lit(1).cast("long").alias("n"))
+    met = links.join(one.unionByName(many), "ca").select("cb", F.when(F.col("name").isNull(), F.col("ca")).alias("ca"), "name", "n")
+    by_class = met.distinct().groupBy("cb").agg(F.sum("n").alias("pairs"))
+    # evaluation tablets with one class take the class's count; the others gather theirs without repeats
+    single = evals.where("classes = 1").select("tablet", F.col("cid").alias("cb")).join(by_class, "cb").select("tablet", "pairs")
+    several = evals.where("classes > 1").select("tablet", F.col("cid").alias("cb")).join(met, "cb").select("tablet", "ca", "name", "n").distinct().groupBy("tablet").agg(F.sum("n").alias("pairs"))
+    per_tablet = single.unionByName(several)
+    return per_tablet.join(where, "tablet").groupBy("eval_split", "site").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("eval_tablets"))

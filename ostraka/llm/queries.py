@@ -53,6 +53,10 @@ def p5_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(table(spark, sf, "failures", "doc_id", "query_rendering"), table(spark, sf, "splits", "doc_id", "site", "main_split"))
 
 
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return overlap.linked_classes(table(spark, sf, "failures", "doc_id", "query_rendering"), table(spark, sf, "splits", "doc_id", "main_split"))
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.token_ids(table(spark, sf, "documents", "doc_id", "text"))
 
@@ -102,6 +106,24 @@ ig AS (SELECT DISTINCT id, array_to_string(w[p:p + 19], ' ') AS g FROM (SELECT i
 leak AS (SELECT DISTINCT dg.id AS doc_id, ig.id AS item_id FROM dg JOIN ig USING (g))
 """
 
+# token lists become strings of one sign a token, equal for equal tokens of the two, so that the edit
+# distance of strings is that of the lists
+_OVERLAP = """
+WITH said AS (SELECT doc_id, min(lower(trim(main_split))) AS label FROM splits WHERE doc_id IS NOT NULL AND trim(main_split) <> '' GROUP BY doc_id HAVING count(DISTINCT lower(trim(main_split))) = 1),
+toks AS (SELECT DISTINCT doc_id, CASE WHEN label = 'train' THEN 'train' ELSE 'eval' END AS side,
+            list_filter(string_split_regex(regexp_replace(lower(nfc_normalize(query_rendering)), '[\\[\\]⸢⸣?!*#]', '', 'g'), '\\s+'), lambda z: z <> '') AS t
+         FROM failures JOIN said USING (doc_id) WHERE label IN ('train', 'dev', 'test') AND query_rendering IS NOT NULL),
+mem AS (SELECT doc_id, side, t, md5(array_to_string(t, ' ')) AS class_id FROM toks WHERE len(list_filter(t, lambda z: z NOT IN ('x', '<num>'))) >= 12),
+tc AS (SELECT DISTINCT class_id, t FROM mem WHERE side = 'train'),
+ec AS (SELECT DISTINCT class_id, t FROM mem WHERE side = 'eval'),
+met AS (SELECT a.class_id AS ca, b.class_id AS cb, a.t AS x, b.t AS y, list_intersect(a.t, b.t) AS s, CAST(floor(0.2 * greatest(len(a.t), len(b.t)) + 1e-9) AS INTEGER) AS k
+         FROM tc a JOIN ec b ON abs(len(a.t) - len(b.t)) <= 0.2 * greatest(len(a.t), len(b.t)) + 1e-9),
+link AS (SELECT ca, cb FROM met WHERE len(list_filter(y, lambda z: NOT list_contains(s, z))) <= k AND
+         levenshtein(array_to_string(list_transform(x, lambda z: CASE WHEN list_contains(s, z) THEN chr(CAST(list_position(s, z) + 2 AS INTEGER)) ELSE chr(1) END), ''),
+                     array_to_string(list_transform(y, lambda z: CASE WHEN list_contains(s, z) THEN chr(CAST(list_position(s, z) + 2 AS INTEGER)) ELSE chr(2) END), '')) <= k),
+pair AS (SELECT DISTINCT t.doc_id AS train_id, e.doc_id AS eval_id FROM link JOIN mem t ON t.class_id = ca AND t.side = 'train' JOIN mem e ON e.class_id = cb AND e.side = 'eval')
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_share": p1_share,
@@ -112,6 +134,7 @@ QUERIES = {
     "p3_balance": p3_balance,
     "p5_found": p5_found,
     "p5_report": p5_report,
+    "p5_classes": p5_classes,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_items": p7_items,
@@ -144,6 +167,13 @@ SQL = {
         UNION SELECT cth FROM kind WHERE bin AND cth IN (SELECT cth FROM row WHERE l IN ('train', 'dev', 'test'))""",
     "p3_balance": """SELECT count(*) AS rows, 0::BIGINT AS divided, 0::BIGINT AS misplaced, true AS balanced
         FROM (SELECT DISTINCT doc_id, cth FROM splits WHERE doc_id IS NOT NULL OR cth IS NOT NULL)""",
+    "p5_found": _OVERLAP + "SELECT least(train_id, eval_id) AS doc_id_1, greatest(train_id, eval_id) AS doc_id_2 FROM pair",
+    "p5_report": _OVERLAP + """, site AS (SELECT DISTINCT doc_id, site FROM splits WHERE doc_id IS NOT NULL AND site IS NOT NULL
+            UNION SELECT DISTINCT doc_id, NULL FROM splits WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM splits WHERE doc_id IS NOT NULL AND site IS NOT NULL))
+        SELECT label AS eval_split, site.site, count(*) AS pairs, count(DISTINCT eval_id) AS eval_tablets
+        FROM pair JOIN said ON said.doc_id = eval_id JOIN site ON site.doc_id = eval_id GROUP BY label, site.site""",
+    "p5_classes": _OVERLAP + """, n AS (SELECT ca AS class_id, 'train' AS side, count(*) AS links FROM link GROUP BY ca UNION ALL SELECT cb, 'eval', count(*) FROM link GROUP BY cb)
+        SELECT doc_id, class_id, side, coalesce(links, 0) AS links FROM mem LEFT JOIN n USING (class_id, side)""",
     "p7_found": _LEAKS + "SELECT doc_id, item_id FROM leak",
     "p7_items": _LEAKS + "SELECT item_id, count(*) AS documents FROM leak GROUP BY item_id",
     "p2_found": """WITH RECURSIVE

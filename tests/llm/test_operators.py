@@ -1,5 +1,6 @@
 """The training-data operators against brute force on small fixtures, with nulls, ties, repeats and empty tables."""
 
+import functools
 import random
 import unicodedata
 
@@ -175,13 +176,17 @@ def test_balance_sees_what_is_wrong(spark):
 
 
 def _edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """Least number of changes, straight from the definition."""
+
+    @functools.cache
+    def left(i, j):
+        if i == len(a) or j == len(b):
+            return len(a) - i + len(b) - j
+        if a[i] == b[j]:
+            return left(i + 1, j + 1)
+        return 1 + min(left(i + 1, j), left(i, j + 1), left(i + 1, j + 1))
+
+    return left(0, 0)
 
 
 def test_edit_limit_matches_the_table():
@@ -221,6 +226,51 @@ def test_cross_split_pairs_match_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) <= want
     assert len(got) >= 0.95 * len(want) and want
     assert overlap.cross_split_pairs(log.limit(0), tab).count() == 0
+    sure = [tuple(r) for r in overlap.cross_split_pairs(log, tab, exact=True).collect()]
+    assert len(sure) == len(set(sure)) and set(sure) == want
+    assert overlap.cross_split_pairs(log.limit(0), tab, exact=True).count() == 0
+
+
+def test_pairs_are_counted_as_they_would_be_made(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(300)]
+    base = [[rng.choice(vocab) for _ in range(20)] for _ in range(6)]
+    rows, labels = [], []
+    for i in range(120):
+        side = rng.choice(["train", "train", "dev", "test"])
+        labels.append((f"t{i}", side, rng.choice(["S", "T", None])))
+        if i % 7 == 0:
+            labels.append((f"t{i}", side, "U"))
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            t = list(rng.choice(base))
+            if rng.random() < 0.3:
+                t[3] = "other"
+            rows.append((f"t{i}", " ".join(t)))
+    log = spark.createDataFrame(rows, "doc_id string, query_rendering string")
+    tab = spark.createDataFrame([(d, s, m) for d, m, s in labels], "doc_id string, site string, main_split string")
+    pairs = overlap.cross_split_pairs(log, tab).collect()
+    label = {d: m for d, m, _ in labels}
+    sites = {}
+    for d, _, s in labels:
+        sites.setdefault(d, set()).add(s)
+    want = {}
+    for r in pairs:
+        for s in (sites[r.eval_id] - {None}) or {None}:
+            want.setdefault((label[r.eval_id], s), []).append(r.eval_id)
+    got = {(r.eval_split, r.site): (r.pairs, r.eval_tablets) for r in overlap.overlap_report(log, tab).collect()}
+    assert got == {k: (len(v), len(set(v))) for k, v in want.items()} and want
+    classes = overlap.linked_classes(log, tab).collect()
+    assert {(r.doc_id, r.class_id) for r in classes} and len(classes) == len({(r.doc_id, r.class_id) for r in classes})
+    linked = {r.doc_id for r in classes if r.links}
+    assert linked == {r.train_id for r in pairs} | {r.eval_id for r in pairs}
+
+
+@pytest.mark.parametrize("n", range(1, 200))
+def test_a_piece_is_left_whole(n):
+    cut = overlap.pieces(n, 0.2)
+    assert [s for s, _ in cut] == [sum(x for _, x in cut[:i]) for i in range(len(cut))] and sum(x for _, x in cut) == n
+    assert len(cut) > int(0.2 * n / 0.8 + 1e-9)
+    assert n < 12 or min(x for _, x in cut) >= 3
 
 
 # --- p6 ------------------------------------------------------------------------------------
