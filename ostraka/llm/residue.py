@@ -11,9 +11,15 @@ Each kind of residue has a grammar of its own, tied to its delimiters or its sto
 * error pages, traces and notices of missing, failing or refused service, in several languages;
 * notices that scripts or cookies are needed.
 
-Fields inside code (fenced or inline) count only where no tutorial speaks about them: a text that
-explains a template language around its code samples is no residue, unless fields make up most of
-what is left of it. A grammar is tried only on texts that hold one of its literal anchors, so the
+Context discounts a match of any kind:
+
+* in code (fenced or inline) that the text around it explains, as a tutorial does;
+* in quotation marks in a sentence that reports or explains words, or followed by who said it or by
+  what the phrase is ("Try again later, said the king"; "lorem ipsum is a filler text");
+* where the stock phrase is one that prose may use, in a long sentence that addresses no reader and
+  names no page, browser or service.
+
+Discounted matches count after all where they make up most of a text. A grammar is tried only on texts that hold one of its literal anchors, so the
 cost of the many grammars is that of a few substring searches a text. The anchors are read off the
 parsed pattern, branch by branch, so no match is without one. No shuffle.
 """
@@ -46,6 +52,7 @@ class Grammar:
     kind: str
     anchors: tuple[str, ...]  # folded; one of them stands in every match. None: tried on every text
     pattern: re.Pattern
+    loose: bool  # prose may use these words too: they count where a reader is addressed
 
 
 def _worth(literals: frozenset[str]) -> tuple[int, int]:
@@ -108,8 +115,8 @@ def anchors(pattern: str, flags: int = 0) -> tuple[str, ...]:
     return tuple(sorted(a for a in best if not any(b != a and b in a for b in best)))
 
 
-def _g(kind: str, pattern: str, flags: int = re.I) -> Grammar:
-    return Grammar(kind, anchors(pattern, flags), re.compile(pattern, flags))
+def _g(kind: str, pattern: str, flags: int = re.I, loose: bool = False) -> Grammar:
+    return Grammar(kind, anchors(pattern, flags), re.compile(pattern, flags), loose)
 
 
 # Delimiters of template languages with the names they admit.
@@ -142,6 +149,10 @@ FIELDS = (
        r"[\[<({]\s*(?:bitte\s+)?[^\[\]<>(){}\n]{0,60}\b(?:einfügen|eintragen|einsetzen|ausfüllen|hier ergänzen|platzhalter)\b[^\[\]<>(){}\n]{0,20}[\])>}]"),
     _g("field",
        r"[\[<({]\s*(?:insérer|inserer|insérez|à compléter|à remplir|saisir|inserire|inserisci|da completare|insertar|inserte|rellenar|por completar|inserir|preencher|invullen|buraya)\b[^\[\]<>(){}\n]{0,60}[\])>}]"),
+    _g("field",
+       r"\[\s*(?:customer|client|recipient|sender|company|employer|organi[sz]ation|business|first|last|full|middle|user|product|project|event|author|editor|contact|job|order|invoice|account|street|email|phone|city|hotel|school|brand|team|manager|website|institution|museum|department)"
+       r"[ _-](?:name|names|id|no\.?|number|date|title|address|email|url|link|code|amount|here)\s*\]"),
+    _g("field", r"\[\s*(?:nombre|nom|nome|name|vorname|nachname|kundenname|firmenname|namn|jméno)[ _](?:del? (?:cliente?|usuario|utente)|du client|de l['’]entreprise|des kunden|der firma|företag|zákazníka|da empresa|dell['’]azienda)\s*\]"),
     _g("note", r"(?:^|[^\w-])(?:TODO|FIXME|TBD)\s?(?:\([^()\n]{0,30}\))?\s?:\s*\S", 0),
     # three X are also a volume of a series ("KUB XXX: 15"): a note only where it opens a line or a comment
     _g("note", r"(?:^\W*|(?:#|//|/\*|<!--)\s*)XXX\s?(?:\([^()\n]{0,30}\))?\s?:\s*[^\W\d]", re.M),
@@ -193,22 +204,22 @@ FAILURES = (
     _g("error", r"\bat [\w.$<>]+\(\w+\.java:\d+\)|\bfile \"[^\"\n]+\.py\", line \d+|\.php(?: on line |:)\d+|\bat \w[\w.$<>]* ?\(?[\w/.:-]+\.js:\d+:\d+"),
     _g("error", r"\bundefined is not (?:an object|a function)\b|\bcannot read propert(?:y|ies)\b|\bnull is not an object\b|\bis not a function\b"),
     _g("error", r"\bsegmentation fault\b|\bcore dumped\b|\bpanic: runtime error\b"),
-    _g("error", r"\b(?:database|mysql|sql|db|server)\s+(?:connection|query|error)\s*(?:failed|error|refused|lost|timed out|:)|\btoo many connections\b|\bconnection (?:refused|timed out|reset by peer)\b|\bsqlstate\[|\bora-\d{5}\b|\berror establishing a database connection\b|\bcould not connect to (?:the )?(?:database|server|host)\b|\bsyntax error in your sql\b|\byou have an error in your sql\b"),
+    _g("error", r"\b(?:database|mysql|sql|db|server)\s+(?:connection|query|server|error)\s*(?:failed|error|refused|lost|timed out|:)|\btoo many connections\b|\bconnection (?:refused|timed out|reset by peer)\b|\bsqlstate\[|\bora-\d{5}\b|\berror establishing a database connection\b|\bcould not connect to (?:the )?(?:database|server|host)\b|\bsyntax error in your sql\b|\byou have an error in your sql\b"),
     _g("error", r"\b(?:not|n't) (?:be )?(?:found|available|located)\s+on this server\b"),
     _g("error",
        r"\b(?:this|the|that|requested)\s+(?:requested\s+)?(?:page|file|url|resource|record|document|image(?: set)?|tablet|entry|edition|item|link|site|account|content|text|photo|article|map|catalogue|viewer|archive)\s+(?:you\b[^.\n]{0,40}\s)?(?:has been (?:permanently |temporarily )?(?:removed|deleted|moved)|(?:was|is) no longer available|no longer exists|does(?:n't| not) exist|may have been (?:moved|removed|deleted))"),
     _g("error", r"\b(?:page|file|record|tablet|document|entry|resource) (?:you (?:requested|are looking for|were looking for|tried to open)|requested)\b[^.\n]{0,60}\b(?:not|no longer|n't|removed|moved)\b|\b(?:oops|sorry|whoops)\s*[!,.]+\s*(?:the|this|we|that|something|an?|page|nothing)\b|\bpage not found\b(?=\s*(?:[.!<|\n–-]|$))|\bpage (?:cannot|can't|could not|couldn't) be (?:found|displayed|loaded)\b"),
     _g("error", r"\bthe requested\s+[\w ]{1,30}\s+(?:could not|cannot|was not|couldn't|can't|wasn't|is not)\s+(?:be )?(?:found|available|loaded|displayed|served)\b"),
-    _g("error", r"\b(?:service|server|site|website|page|system|application|catalogue|archive|viewer|edition|map|search|database) is (?:currently |temporarily |now )?(?:unavailable|not available|down|offline|overloaded|under maintenance)\b|\btemporarily unavailable\b|\bdown for (?:scheduled |planned |routine )?maintenance\b|\b(?:scheduled|undergoing|under) maintenance\b|\bwill be back (?:shortly|soon)\b|\bbe back (?:online )?(?:shortly|soon)\b"),
+    _g("error", r"\b(?:service|server|site|website|page|system|application|catalogue|archive|viewer|edition|map|search|database) is (?:currently |temporarily |now )?(?:unavailable|not available|down|offline|overloaded|under maintenance)\b(?! of\b)|\btemporarily unavailable\b|\bdown for (?:scheduled |planned |routine )?maintenance\b|\b(?:site|website|page|server|service|system|portal|platform|application|catalogue|viewer|database|we|archive) (?:is|are|was)? ?(?:currently |temporarily |now |presently )*(?:undergoing|under|in) (?:scheduled |planned |routine )?maintenance\b(?! of\b)|\b(?:scheduled|planned|emergency) maintenance\s*(?:[.:!\n]|$|window|in progress|is (?:in progress|under way|being)|until|from \d)|(?<!he )(?<!she )(?<!they )(?<!\bI )\b(?:will|shall|['’]ll) be back (?:online )?(?:shortly|soon)\b|(?:^|[\n>.!]\s*)(?:be )?back (?:online )?(?:shortly|soon)\s*(?:[.!<\n]|$)"),
     _g("error", r"\bsomething went wrong\b|\b(?:an? )?(?:unexpected|unknown|internal|fatal|application|server|client-side)(?: server)? (?:error|exception)(?: has)? occurred\b|\ban error (?:has )?occurred\b|\b(?:failed|unable) to load (?:the |this )?(?:page|resource|file|content|image|data|viewer|edition|tablet|record)\b|\bcould not load (?:the |this )?(?:page|resource|file|content|viewer|data)\b"),
     _g("error", r"\b(?:session|link|token|login) (?:has |is )?expired\b"),
     _g("error", r"(?:^|[\n>.:!]\s*)access (?:is |was )?denied\b(?=\s*(?:[.!:<\n(-]|$))|\b(?:don't|do not|not) have (?:the |sufficient |enough )?(?:permission|rights|access)s? to (?:access|view|open|see|read)\b|\b(?:not|n't) (?:authori[sz]ed|allowed|permitted) to (?:access|view|open) this\b|\b(?:log|sign) in (?:again )?to (?:view|access|continue|see|read)\b|\bpermission denied\b(?=\s*(?:[.!:<\n(]|$))"),
     _g("error", r"\b(?:please )?(?:try|retry)(?: again)? (?:again )?(?:later|in a few|in a moment|after \d+|shortly|soon)\b|\bretry after\b|\b(?:reload|refresh) (?:the|this) page(?: to| and)? (?:try again|retry)\b|\bslow down and (?:re)?try\b"),
-    _g("error", r"\btoo many requests\b|\brate limit(?:ed)? (?:exceeded|reached)\b|\bunusual traffic from\b|\bcaptcha\b|\bnot a robot\b|\byou are human\b|\bchecking your browser\b|\bverify(?:ing)? you are\b"),
+    _g("error", r"\btoo many requests\b|\brate limit(?:ed)? (?:exceeded|reached)\b|\bunusual traffic from\b|\b(?:complete|solve|enter|fill in|type|pass|submit)\s+(?:the |this |a )?(?:security )?captcha\b|\b(?:re)?captcha (?:required|verification|challenge|failed|expired|check|code)\b|\b(?:invalid|incorrect|wrong|expired) captcha\b|\bnot a robot\b|\byou are human\b|\bchecking your browser\b|\bverify(?:ing)? you are\b"),
     _g("error", r"\b(?:server|host|gateway|upstream|service)(?: server)? (?:did not|didn't|took too long to|failed to) (?:answer|respond|reply)\b|\b(?:session|request|connection|operation|query) (?:has )?timed out\b"),
     _g("error", r"\b(?:go back|return|back) to (?:the |our )?(?:start page|home ?page|front page)\b"),
     _g("error",
-       r"\bein (?:unerwarteter |interner |unbekannter )?fehler (?:ist )?(?:aufgetreten|beim)|\bfehler aufgetreten\b|\bversuchen sie es (?:bitte )?(?:später|in \w+ \w+|noch ?einmal|erneut)\b|\bfehler(?:nummer|code|meldung)\s*:?\s*\d|\bangeforderte[nrs]? [\w-]+ (?:existiert|wurde|konnte|ist|kann)\b|\bseite (?:wurde )?(?:leider )?nicht gefunden\b|\b(?:dienst|server|seite|dienst|website) ist (?:derzeit|zurzeit|momentan|vorübergehend) nicht (?:verfügbar|erreichbar)\b|\bzugriff (?:wurde )?verweigert\b|\bwartungsarbeiten\b|\bkeine berechtigung\b|\binterner serverfehler\b|\bserverfehler\b"),
+       r"\bein (?:unerwarteter |interner |unbekannter )?fehler (?:ist )?(?:aufgetreten|beim)|\bfehler aufgetreten\b|\bversuchen sie es (?:bitte )?(?:später|in \w+ \w+|noch ?einmal|erneut)\b|\bfehler(?:nummer|code|meldung)\s*:?\s*\d|\bangeforderte[nrs]? [\w-]+ (?:existiert|wurde|konnte|ist|kann)\b|\bseite (?:wurde )?(?:leider )?nicht gefunden\b|\b(?:dienst|server|seite|dienst|website) ist (?:derzeit|zurzeit|momentan|vorübergehend) nicht (?:verfügbar|erreichbar)\b|\bzugriff (?:wurde )?verweigert\b|\b(?:wegen|aufgrund|infolge|während)\s+(?:\w+ ){0,2}wartungsarbeiten\b[^.\n]{0,60}\b(?:nicht|offline|unterbrochen|eingeschränkt)|\bwartungsarbeiten\s*(?:[!:\n]|$|durchgeführt)|\b(?:derzeit|zurzeit|momentan|gerade|geplante)\b[^.\n]{0,30}\bwartungsarbeiten\b(?! am\b)|\b(?:seite|website|server|dienst|system)\b[^.\n]{0,30}\bwartungsarbeiten\b|\bkeine berechtigung\b|\binterner serverfehler\b|\bserverfehler\b"),
     _g("error", r"\berreur (?:\d{3}|interne|inattendue|serveur|du serveur|s'est produite|est survenue)|\b(?:page|ressource|fiche|notice|tablette) (?:demandée )?(?:n['’]existe (?:pas|plus)|(?:est )?introuvable|non trouvée)|\bveuillez réessayer\b|\bréessayer plus tard\b|\bservice (?:est )?(?:temporairement )?indisponible\b|\baccès (?:est )?refusé\b|\bune erreur (?:est survenue|s['’]est produite)"),
     _g("error", r"\berrore (?:\d{3}|interno|imprevisto|del server|di sistema)|\briprova(?:re)? più tardi\b|\bpagina (?:richiesta )?non (?:trovata|esiste|disponibile)\b|\bservizio (?:temporaneamente )?non disponibile\b|\baccesso negato\b|\bsi è verificato un errore\b"),
     _g("error", r"\berror (?:interno|inesperado) del servidor\b|\berror interno\b|\bha ocurrido un error\b|\bse (?:ha )?produ(?:jo|cido) un error\b|\bpágina (?:solicitada )?no (?:encontrada|existe|disponible)\b|\bno se (?:ha )?(?:encontró|encontrado|pudo encontrar) la página\b|\bint[eé]ntelo (?:de nuevo|más tarde)\b|\bacceso denegado\b|\bservicio no disponible\b|\berro interno do servidor\b|\bocorreu um erro\b|\bpágina não encontrada\b|\btente novamente\b|\bacesso negado\b"),
@@ -216,19 +227,36 @@ FAILURES = (
     _g("error", r"\bpagina niet gevonden\b|\ber is een fout opgetreden\b|\bprobeer het (?:later )?opnieuw\b|\bgeen toegang\b|\bnie znaleziono strony\b|\bwystąpił błąd\b|\bspróbuj ponownie\b|страница не найдена|произошла ошибка|ошибка сервера|попробуйте (?:позже|ещё раз)|внутренняя ошибка"),
 )
 
-_SCRIPT = r"(?:java ?scripts?|\bjs\b)"
+_MORE = (
+    # Swedish, Danish, Norwegian, Finnish
+    r"\bsidan (?:kunde inte hittas|hittades inte|finns inte)|\b(?:ett|något) (?:oväntat )?fel (?:har )?(?:inträffat|uppstod|uppstått)|\bförsök igen (?:senare|om en stund)|\båtkomst nekad\b|\btjänsten är (?:tillfälligt |för närvarande )?otillgänglig|\bnågot gick fel\b"
+    r"|\bsiden (?:blev ikke fundet|kunne ikke findes|findes ikke|ble ikke funnet|finnes ikke)|\bder (?:er opstået|opstod) en (?:uventet )?fejl|\bdet (?:har oppstått|oppsto) en (?:uventet )?feil|\bprøv igen senere\b|\bprøv igjen senere\b|\badgang nægtet\b|\bingen tilgang\b"
+    r"|\bsivua ei (?:löytynyt|löydy)|\btapahtui (?:odottamaton )?virhe|\byritä (?:myöhemmin )?uudelleen\b|\bpääsy (?:estetty|kielletty)\b",
+    # Czech, Slovak, Hungarian, Romanian, Portuguese, Greek
+    r"\bstránk[ay] (?:nebyla nalezena|nenalezena|neexistuje|nenájdená|sa nenašla)|\bdošlo k (?:neočekávané )?chybě\b|\bnastala (?:neočekávaná )?chyba\b|\bzkuste to (?:prosím )?(?:znovu|později)|\bskúste to (?:neskôr|znova)|\bpřístup (?:byl )?(?:odepřen|zamítnut)|\bslužba (?:je )?(?:dočasně |momentálně )?nedostupná|\bchyba serveru\b"
+    r"|\baz oldal nem található|\bhiba (?:történt|lépett fel)|\bpróbálja (?:meg )?(?:újra|később)|\bhozzáférés megtagadva|\bpagina nu a fost găsită|\ba apărut o eroare|\bîncercați din nou|\bacces interzis\b"
+    r"|η σελίδα δεν βρέθηκε|παρουσιάστηκε (?:ένα )?σφάλμα|δοκιμάστε (?:ξανά|αργότερα)|σφάλμα διακομιστή",
+    # Japanese, Chinese, Korean, Arabic, Hebrew, Persian, Ukrainian, Hindi: no word boundaries are asked for
+    r"ページ(?:が|は)(?:見つかりません|存在しません|表示できません)|(?:エラー|障害)が発生しました|(?:しばらくして|後ほど|時間をおいて)[^。\n]{0,12}(?:お試し|再度|アクセス)|アクセスが拒否|サーバー ?エラー|(?:ただいま|現在)[^。\n]{0,8}メンテナンス(?:中|を)|サービスは(?:一時的に|現在)[^。\n]{0,6}利用できません"
+    r"|(?:页面|頁面|网页|網頁)(?:不存在|未找到|找不到|无法显示|無法顯示|已被删除)|(?:找不到|无法找到|無法找到)[^。\n]{0,8}(?:页面|頁面|网页|網頁|文件)|(?:发生|發生|出现|出現)(?:了)?(?:未知|内部|系統|系统)?(?:错误|錯誤)|请稍后(?:再试|重试)|請稍後(?:再試|重試)|(?:拒绝|拒絕)(?:访问|存取|訪問)|访问被拒绝|服务器(?:内部)?错误|伺服器(?:內部)?錯誤|(?:系统|系統|网站|網站)(?:正在)?(?:维护|維護)中|服务(?:暂时|暫時)不可用"
+    r"|페이지를 찾을 수 없|오류가 발생|나중에 다시 시도|접근이 거부|액세스가 거부|서버 오류|점검 중입니다"
+    r"|الصفحة (?:المطلوبة )?غير موجودة|لم يتم العثور على (?:الصفحة|الملف)|حدث خطأ|(?:يرجى )?(?:إعادة المحاولة|المحاولة (?:مرة أخرى|لاحق))|تم رفض الوصول|الوصول مرفوض|خطأ في الخادم|الخدمة غير متاحة"
+    r"|הדף לא נמצא|אירעה שגיאה|נסה שוב|הגישה נדחתה|صفحه (?:مورد نظر )?(?:یافت|پیدا) نشد|خطایی رخ داد|сторінку не знайдено|сталася помилка|спробуйте пізніше|доступ (?:запрещ[её]н|заборонено)|сервис (?:временно )?недоступен|पृष्ठ नहीं मिला|त्रुटि हुई",
+)
+FAILURES += tuple(_g("error", p) for p in _MORE)
+
+_SCRIPT = r"(?:java ?scripts?|\bjs\b|جافا ?سكريبت|자바 ?스크립트)"
 _NEED = (
     r"enabl\w*|activ\w*|turn(?:ed)? on|turn(?:ed)? off|switch\w*|requir\w*|need\w*|must|allow\w*|disabl\w*|block\w*|without|support\w*|unavailable|off\b"
     r"|aktivier\w*|eingeschaltet|einschalten|einzuschalten|erforderlich|benötig\w*|deaktivier\w*|ausgeschaltet|zulassen|notwendig|voraus"
     r"|activer|activez|activé|désactivé|nécessaire|requis|nécessite|autoriser"
     r"|abilit\w*|attiv\w*|necessari\w*|disabilit\w*|richied\w*|habilit\w*|activ[aeo]\w*|necesit\w*|requier\w*|desactiv\w*|ativ\w*|desativ\w*"
-    r"|etkinleştir\w*|gerek\w*|devre dışı|açın|açık|inschakelen|schakel|vereist|włącz\w*|wymag\w*|включ\w*|требуется|необходим\w*|отключ\w*|aktiver\w*|aktivera|povolte|zapnout|有効|启用|启用"
+    r"|etkinleştir\w*|gerek\w*|devre dışı|açın|açık|inschakelen|schakel|vereist|włącz\w*|wymag\w*|включ\w*|требуется|необходим\w*|отключ\w*|aktiver\w*|aktivera|krävs|kräver|slå på|avstängt|povolte|povolit|povolen\w*|zapn\w*|vyžad\w*|vypnut\w*|engedélyez\w*|szükséges|käytössä|ενεργοποι\w*|有効|無効|必要|オン|启用|啟用|需要|禁用|开启|開啟|활성화|필요|تمكين|تفعيل|يتطلب"
 )
 
 # Notices that scripts or cookies are needed.
 NOTICES = (
-    _g("notice", _SCRIPT + r"[^.\n]{0,80}?(?:" + _NEED + r")|(?:" + _NEED + r")[^.\n]{0,80}?" + _SCRIPT),
-    _g("notice", r"javascript"),
+    _g("notice", _SCRIPT + r"[^.\n]{0,80}?(?:" + _NEED + r")|(?:" + _NEED + r")[^.\n]{0,80}?" + _SCRIPT, loose=True),
     _g("notice", r"<noscript\b"),
     _g("notice", r"\bcookies?\b[^.\n]{0,60}?(?:" + _NEED + r"|accept\w*|akzept\w*|accett\w*|acept\w*|consent\w*|zustimm\w*|uses?\b|verwende\w*|utilis\w*)|(?:" + _NEED + r"|accept\w*|akzept\w*|uses?\b|verwende\w*|utilis\w*)[^.\n]{0,60}?\bcookies?\b"),
     _g("notice", r"\b(?:application|app|site|page|viewer|edition|catalogue|browser|map|search|website|tool|archive)\b[^.\n]{0,60}\b(?:requires?|needs?|blocks?|blocked|must allow|does not (?:allow|support|run))\s+(?:client-side )?script(?:s|ing)\b|\bscripts? (?:must|have to|need to) be (?:allowed|enabled|active|activated|switched on|turned on)\b|\b(?:enable|allow|activate|turn on|switch on|unblock) (?:client-side )?script(?:s|ing)\b|\bwithout (?:client-side )?scripting\b|\bscript(?:s|ing) (?:is|are) (?:disabled|blocked|switched off|turned off|required)\b(?=[^.\n]{0,40}\b(?:browser|page|site|application))|\bskripte? (?:müssen|sind)\b[^.\n]{0,40}\b(?:zugelassen|aktiviert|deaktiviert|erforderlich|erlaubt)\b"),
@@ -295,6 +323,34 @@ def _dense(words: list[str]) -> bool:
     return False
 
 
+# Words that report or explain other words, in front of a quotation or behind it.
+_SAYS = (
+    r"(?:said|says|saying|say|told|tells|asked|asks|answered|replied|wrote|writes|written|shouted|cried|whispered|announced|read|reads|means|meant|mentions?|mentioned|discuss\w*|explains?|explained|describes?|described"
+    r"|called|known as|translates?|translated|quotes?|quoted|phrases?|expressions?|words?|wording|terms?|messages?|sentences?|headings?|titled?|inscribed|labell?ed"
+    r"|sagte|sagt|sprach|schrieb|schreibt|lautete?|heißt|bedeutet|ausdruck|meldung|wort|worte|satz|dit|disait|écrit|écrivit|signifie|mots?|expression|disse|scrisse|significa|parol[ae]|dijo|dice|escribió|palabras?|frase|mensaje|messaggio)"
+)
+_SPOKEN = re.compile(r"\b" + _SAYS + r"\b", re.I)
+_THEN = re.compile(
+    r"[\s,;.!?…]*[\"'”“»«’]*[\s,]*(?:he |she |they |the \w+ |der \w+ |die \w+ |le \w+ |la \w+ )?(?:said|says|told|asked|answered|replied|wrote|shouted|cried|whispered|announced|sagte|sprach|rief|schrieb|dit|répondit|disse|rispose|dijo|respondió)\b"
+    r"|[\"'”“»«’]*\s+(?:is|are|was|were|means|refers|stands|comes|ist|war|sind|est|è|es)\s+(?:a|an|the|what|used|derived|known|often|not|taken|from|ein\w*|une?|un\w*|der|die|das|keine?)\b", re.I)
+_OPENS, _CLOSES = "\"“„«‘'", "\"”“»«’'"
+_EDGE = re.compile(r"[.!?。！？](?=[\s\"'”»’)]|$)|\n")
+_ADDRESS = re.compile(
+    r"\b(?:you|your|please|browsers?|pages?|sites?|websites?|apps?|applications?|viewer|edition|catalogue|content|reload|this (?:tool|map|service|database|archive)|bitte|ihr\w*|sie|seite|anwendung|inhalte?|veuillez|votre|vos|navigateur|contenu"
+    r"|suo|vostro|pagina|sito|contenuto|per favore|su|sus|tu|sitio|página|navegador|contenido|por favor|seu|sua|lütfen|tarayıcı\w*|sayfa\w*|uw|deze|proszę|przeglądar\w*|din|webbläsar\w*|prosím|prohlížeč\w*)\b", re.I)
+_SHORT = 8
+
+
+def _sentence(text: str, at: int, end: int) -> tuple[int, int]:
+    """The sentence (or line) around a match, looked for in 400 characters on either side."""
+    lo = max(0, at - 400)
+    begin = lo
+    for m in _EDGE.finditer(text, lo, at):
+        begin = m.end()
+    stop = _EDGE.search(text, end, min(len(text), end + 400))
+    return begin, stop.end() if stop else min(len(text), end + 400)
+
+
 def _explained(text: str, at: int, end: int) -> bool:
     """Whether the match stands in code that the text around it explains."""
     for m in _CODE.finditer(text):
@@ -306,6 +362,26 @@ def _explained(text: str, at: int, end: int) -> bool:
     return False
 
 
+def _told(text: str, at: int, end: int) -> bool:
+    """Whether the match is reported or explained speech: in quotation marks beside a word of saying, or followed by one."""
+    begin, stop = _sentence(text, at, end)
+    if _THEN.match(text, end, min(len(text), end + 60)):
+        return True
+    before, after = text[begin:at], text[end:stop]
+    if any(c in before for c in _OPENS) and any(c in after for c in _CLOSES):
+        open_at = max(before.rfind(c) for c in _OPENS)
+        close_at = min(i for i in (after.find(c) for c in _CLOSES) if i >= 0)
+        return bool(_SPOKEN.search(before[:open_at]) or _SPOKEN.search(after[close_at:]))
+    return False
+
+
+def _unaddressed(text: str, at: int, end: int) -> bool:
+    """Whether the match stands in a long sentence that speaks to no reader and of no page."""
+    begin, stop = _sentence(text, at, end)
+    around = text[begin:stop]
+    return len(around.split()) > _SHORT and not _ADDRESS.search(around)
+
+
 _GRAMMARS = FIELDS + SAMPLES + FAILURES + NOTICES
 _FREE = frozenset(i for i, g in enumerate(_GRAMMARS) if not g.anchors)
 
@@ -340,15 +416,13 @@ def residue_kind(text: str | None) -> str | None:
         coded = "`" in text or "~~~" in text or "<code" in low or "<pre" in low
         for i in sorted(called):
             g = _GRAMMARS[i]
-            if i >= len(FIELDS):
-                if g.pattern.search(text):
-                    return g.kind
-                continue
             hidden = 0
             for m in g.pattern.finditer(text):
-                if not (coded and _explained(text, m.start(), m.end())):
+                at, end = m.span()
+                spared = (coded and _explained(text, at, end)) or (i >= len(FIELDS) and _told(text, at, end)) or (g.loose and _unaddressed(text, at, end))
+                if not spared:
                     return g.kind
-                hidden += m.end() - m.start()
+                hidden += end - at
             if hidden > 0.5 * len(text.strip()):
                 return g.kind  # so dense that no explanation is left
     words = _WORDS.findall(low)
