@@ -331,11 +331,20 @@ def test_leaks_match_brute_force(spark):
     want = {(d, i) for d, w in docs for i, v in items if grams(w) & grams(v)}
     dd = spark.createDataFrame([(d, " [".join(w).upper(), 1) for d, w in docs] + [(900, None, 1), (901, "", 1)], "doc_id long, text string, item_id int")
     ii = spark.createDataFrame([(i, ", ".join(v)) for i, v in items] + [(77, None)], "item_id long, text string")
-    got = [tuple(r) for r in leaks.leaks(dd, ii).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and want
+    for more in ({}, {"shard_words": 300, "piece_words": 100}, {"shard_words": 41, "piece_words": 40}):  # one shard, many, and items in pieces
+        got = [tuple(r) for r in leaks.leaks(dd, ii, **more).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
     assert leaks.leaks(dd, ii.limit(0)).count() == 0 and leaks.leaks(dd.limit(0), ii).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 19, 20, 21, 39, 40, 41, 60, 61, 200])
+def test_pieces_hold_every_run(n):
+    w = [str(i) for i in range(n)]
+    cut = leaks.item_pieces(w, 20, 40)
+    runs = {tuple(p[s:s + 20]) for p in cut for s in range(len(p) - 19)}
+    assert runs == {tuple(w[s:s + 20]) for s in range(n - 19)} and all(20 <= len(p) <= 40 for p in cut)
+
+
 def test_words_are_normalised():
     assert leaks.words("Ke[m]-pú ⸢A⸣" + unicodedata.normalize("NFD", "É") + " x_y") == ["kem", "pú", "aé", "x", "y"]
 
