@@ -32,9 +32,15 @@ def rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, min_support int, min_margin int, min_dominance double, max_alternatives int")
 
 
-def profile(standing: DataFrame, *keys: str) -> DataFrame:
-    """Counts of spans with equal features per ``keys``: the only thing rules are evaluated on."""
-    return standing.groupBy(*keys, *FEATURES).agg(F.count(F.lit(1)).alias("n"))
+def profile(standing: DataFrame, *keys: str, weight: str | None = None) -> DataFrame:
+    """Counts of spans with equal features per ``keys``: the only thing rules are evaluated on. ``weight`` says how many spans a row stands for."""
+    return standing.groupBy(*keys, *FEATURES).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n"))
+
+
+def abstaining(counts: DataFrame, *keys: str) -> DataFrame:
+    """Profile rows of spans without any proposal; ``counts`` has the keys and n."""
+    none = {"top": F.lit(0).cast("long"), "margin": F.lit(0).cast("long"), "dominance": F.lit(0.0), "n_alt": F.lit(0).cast("long"), "unique_top": F.lit(False), "top_exact": F.lit(False)}
+    return counts.where("n > 0").select(*keys, *[none[f].alias(f) for f in FEATURES], "n")
 
 
 def accepts() -> Column:

@@ -2,9 +2,21 @@
 
 A span of ``mask`` tokens inside a line is hidden; ``anchors`` tokens on each side stay. A
 witness is any line of the same scope, of another family, where the same anchors enclose a
-middle of at most ``max_middle`` tokens (the empty middle, an omission, is a proposal too). The
-index holds only windows between anchors that two families share, and is joined on scope and both
-anchors; families vote once per middle.
+middle of at most ``max_middle`` tokens (the empty middle, an omission, is a proposal too).
+Families vote once per middle; a span's own family never votes.
+
+A window is a pair of anchors with what they enclose, and a span is a window whose middle has the
+length of the mask, so one table of windows serves as index and as question. Spans never meet the
+families of their anchors one by one, which grows with the square of a formula's occurrences.
+What a span is told is put together from counts of its anchor pair, less what its own family put
+into them, which each is an aggregation that grows with the windows:
+
+* the support S of a middle is the number of its families; a family that proposes it sees S - 1;
+* the number of middles is that of the pair, less those only the own family has;
+* the best two supports are among the two highest levels of the pair, each less one for own middles;
+* the first d proposals are among the first d plus the own ones of the pair.
+
+Windows are keyed by 128 bits of scope and anchors (k1, k2) and 64 bits of the middle within them.
 """
 
 from __future__ import annotations
@@ -13,127 +25,197 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..storage import Scratch
 
 MAX_MIDDLE = 12
 #: Stands between the tokens of a key; no token holds it.
 MARK = "\x1f"
+PAIR = ["k1", "k2"]
+#: Anchor pairs, 8 bytes each, that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
-def key(tokens: Column) -> Column:
-    """Tokens as one string: strings hash and compare inside generated code, arrays do not."""
-    return F.array_join(tokens, MARK)
-
-
-def masked_spans(lines: DataFrame, anchors: int, mask: int, *keep: str) -> DataFrame:
-    """(``keep``..., line, start, l, r, gold): every span inside a line with whole anchors on both sides."""
-    width = 2 * anchors + mask
-    t = F.col("tokens")
-    at = lines.where(F.size(t) >= width).select(*keep, "line", "tokens", F.explode(F.sequence(F.lit(1), F.size(t) - (width - 1))).alias("i"))
-    return at.select(
-        *keep, "line", (F.col("i") - 1 + anchors).alias("start"),
-        key(F.slice(t, F.col("i"), anchors)).alias("l"), key(F.slice(t, F.col("i") + anchors + mask, anchors)).alias("r"),
-        key(F.slice(t, F.col("i") + anchors, mask)).alias("gold"))
-
+def windows(lines: DataFrame, anchors: int, scope: str, unit: str, max_middle: int = MAX_MIDDLE, spelled: bool = False) -> DataFrame:
+    """(doc_id, line, start, len, scope, unit, family, k1, k2, m): every window of every line; ``start`` is where the middle begins.
 
-def shared_anchors(lines: DataFrame, anchors: int, scope: str) -> DataFrame:
-    """Lines with sp: the start positions whose anchor stands in another family of the scope too.
-
-    An anchor of one family alone can be part of no proposal, so windows are only ever built
-    between shared positions; grams are reduced to two numbers per key before the shuffle.
+    ``m`` is a hash of the middle, or its tokens joined by ``MARK`` if ``spelled``.
+    """
+    names = ["doc_id", "line", F.col(scope).alias("scope"), F.col(unit).alias("unit"), "family"]
+    kept = ["doc_id", "line", "scope", "unit", "family"]
+    long_enough = lines.where(F.size("tokens") >= 2 * anchors)
+    parts = ["h", "t"] if spelled else ["h"]
+    hashed = long_enough.select(*names, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"), *([F.col("tokens").alias("t")] if spelled else []))
+    at = hashed.select(*kept, *parts, F.explode(F.sequence(F.lit(1), F.size("h") - (2 * anchors - 1))).alias("i"))
+    # each row keeps only the stretch its windows lie in
+    near = at.select(*kept, (F.col("i") - 1 + anchors).alias("start"), F.slice("h", F.col("i"), anchors).alias("l"), *[F.slice(p, F.col("i") + anchors, max_middle + anchors).alias(p) for p in parts])
+    each = near.select(*kept, "start", "l", *parts, F.explode(F.sequence(F.lit(0), F.size("h") - anchors)).alias("len"))
+    r = F.slice("h", F.col("len") + 1, anchors)
+    middle = F.slice("t" if spelled else "h", F.lit(1), F.col("len"))
+    return each.select(
+        "doc_id", "line", "start", "len", "scope", "unit", "family", F.xxhash64("scope", "l", r).alias("k1"), F.xxhash64(F.lit(7), "scope", "l", r).alias("k2"),
+        (F.array_join(middle, MARK) if spelled else F.xxhash64(middle)).alias("m"))
+
+
+def masked_spans(lines: DataFrame, anchors: int, mask: int, scope: str, unit: str) -> DataFrame:
+    """The windows whose middle, the gold reading, has ``mask`` tokens: every span inside a line with whole anchors on both sides."""
+    return windows(lines, anchors, scope, unit, mask, spelled=True).where(F.col("len") == mask)
+
+
+def counted(lines: DataFrame, anchors: int, masks: list[int], scope: str, unit: str, max_middle: int = MAX_MIDDLE, spelled: bool = False) -> DataFrame:
+    """(k1, k2, m, family, scope, unit, len, c): windows alike in all of these, counted, of the anchor pairs that enclose a span and that two families have.
+
+    No other pair brings a proposal to anything asked, and these are few; three numbers per pair tell
+    them, so what is shuffled in full is only what can matter. (They are told by half of the key: that
+    two pairs share it by chance costs a few rows and changes no result.)
     """
-    t = F.col("tokens")
-    at = F.transform(F.sequence(F.lit(1), F.size(t) - (anchors - 1)), lambda i: F.struct(i.alias("i"), key(F.slice(t, i, anchors)).alias("g")))
-    grams = lines.where(F.size(t) >= 2 * anchors).select("doc_id", "line", scope, "family", F.explode(at).alias("x")).select("doc_id", "line", scope, "family", "x.i", "x.g")
-    shared = grams.groupBy(scope, "g").agg(F.min("family").alias("a"), F.max("family").alias("z")).where("a <> z").select(scope, "g")
-    places = grams.join(shared, [scope, "g"]).groupBy("doc_id", "line").agg(F.array_sort(F.collect_list("i")).alias("sp"))
-    return lines.join(places, ["doc_id", "line"])
+    every = windows(lines, anchors, scope, unit, max_middle, spelled)
+    pairs = every.groupBy("k1").agg(F.min("family").alias("a"), F.max("family").alias("z"), F.max(F.col("len").isin(masks)).alias("asked"))
+    wanted = Scratch(lines.sparkSession, "pairs").cut(pairs.where("a <> z and asked").select("k1"), "wanted")
+    if wanted.count() <= BROADCAST_KEYS:  # a checked size; beyond it the windows are shuffled to the keys
+        wanted = F.broadcast(wanted)
+    return every.join(wanted, "k1", "left_semi").groupBy(*PAIR, "m", "family", "scope", "unit", "len").agg(F.count(F.lit(1)).alias("c"))
 
 
-def anchor_index(lines: DataFrame, anchors: int, scope: str, max_middle: int = MAX_MIDDLE) -> DataFrame:
-    """(scope, l, r, middle, family): distinct witness windows between anchors that another family has too.
+def eligible_scopes(lines: DataFrame, scope: str) -> DataFrame:
+    """(scope): scopes with at least two families, where a span can have an independent witness."""
+    return lines.groupBy(F.col(scope).alias("scope")).agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select("scope")
 
-    The reduction comes before the windows are built: it changes what is shuffled, not what is found.
-    """
-    t, i = F.col("tokens"), F.col("i")
-    starts = shared_anchors(lines, anchors, scope).select(scope, "family", "tokens", "sp", F.explode("sp").alias("i"))
-    ends = F.filter("sp", lambda j: (j >= i + anchors) & (j <= i + anchors + max_middle))
-    windows = starts.select(scope, "family", "tokens", "i", F.explode(ends).alias("j"))
-    cut = windows.select(
-        scope, key(F.slice(t, i, anchors)).alias("l"), key(F.slice(t, F.col("j"), anchors)).alias("r"),
-        key(F.slice(t, i + anchors, F.col("j") - i - anchors)).alias("middle"), "family")
-    return cut.distinct()
 
+def eligible(lines: DataFrame, anchors: int, masks: list[int], scope: str, unit: str) -> DataFrame:
+    """(mask, scope, unit, eligible): spans inside lines of eligible scopes, counted from the lengths of the lines."""
+    n = [F.greatest(F.size("tokens") - (2 * anchors + m - 1), F.lit(0)).cast("long") for m in masks]
+    sized = lines.select(F.col(scope).alias("scope"), F.col(unit).alias("unit"), *[c.alias(f"n{m}") for c, m in zip(n, masks)])
+    sums = sized.groupBy("scope", "unit").agg(*[F.sum(f"n{m}").alias(f"n{m}") for m in masks]).join(eligible_scopes(lines, scope), "scope", "left_semi")
+    tall = sums.select("scope", "unit", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col(f"n{m}").alias("eligible")) for m in masks])).alias("x"))
+    return tall.select("x.mask", "scope", "unit", "x.eligible").where("eligible > 0")
 
-def votes(spans: DataFrame, index: DataFrame, scope: str, ids: list[str]) -> DataFrame:
-    """(``ids``, middle, support): independent families per proposal of each span; the span's own family never votes."""
-    asked = spans.select(*ids, scope, "l", "r", F.col("family").alias("own"))
-    met = asked.join(index, [scope, "l", "r"]).where("family <> own")
-    return met.groupBy(*ids, "middle").agg(F.count(F.lit(1)).alias("support"))
 
+def _alone(levels: DataFrame) -> DataFrame:
+    """(k1, k2, family, alone): of each pair and family the middles that only this family has; from (k1, k2, m, lo, hi)."""
+    return levels.where("lo = hi").groupBy(*PAIR, F.col("lo").alias("family")).agg(F.count(F.lit(1)).alias("alone"))
 
-def standings(spans: DataFrame, voted: DataFrame, ids: list[str]) -> DataFrame:
-    """One row per span: proposals, total and top support, runner-up, margin, dominance, unique_top, gold support.
 
-    Spans without any proposal keep a row with 0 proposals.
-    """
-    gold = spans.select(*ids, "gold")
-    v = voted.join(gold, ids)
-    agg = v.groupBy(*ids).agg(
-        F.count(F.lit(1)).alias("n_alt"), F.sum("support").alias("total"), F.max("support").alias("top"),
-        F.slice(F.sort_array(F.collect_list("support"), asc=False), 2, 1).alias("second"),
-        F.max(F.when(F.col("middle") == F.col("gold"), F.col("support"))).alias("gold_support"))
-    agg = agg.withColumn("runner_up", F.coalesce(F.get("second", F.lit(0)), F.lit(0))).drop("second")
-    full = spans.join(agg, ids, "left")
-    zero = ["n_alt", "total", "top", "runner_up", "gold_support"]
-    full = full.select(*[c for c in full.columns if c not in zero], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in zero])
-    return full.withColumn("margin", F.col("top") - F.col("runner_up")).withColumn(
-        "unique_top", (F.col("n_alt") > 0) & (F.col("margin") > 0)).withColumn(
-        "dominance", F.when(F.col("total") > 0, F.col("top") / F.col("total")).otherwise(F.lit(0.0))).withColumn(
-        "top_exact", F.col("unique_top") & (F.col("gold_support") == F.col("top")))
+def census_cells(lines: DataFrame, anchors: int, masks: list[int], scope: str, unit: str, max_middle: int = MAX_MIDDLE) -> DataFrame:
+    """(mask, unit, eligible, supported, exact, variant_only, ambiguous, abstained) of all masks at once, which must be at most ``max_middle``."""
+    w = counted(lines, anchors, masks, scope, unit, max_middle)
+    levels = w.groupBy(*PAIR, "m").agg(F.min("family").alias("lo"), F.max("family").alias("hi"))
+    pairs = levels.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_middles"))
+    spans = w.where(F.col("len").isin(masks)).groupBy(*PAIR, "m", "family", "unit", "len").agg(F.sum("c").alias("c"))
+    met = spans.join(pairs, PAIR).join(levels, [*PAIR, "m"]).join(_alone(levels), [*PAIR, "family"], "left")
+    n, exact = F.col("n_middles") - F.coalesce("alone", F.lit(0)), F.col("lo") != F.col("hi")
 
+    def total(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("c")).otherwise(0))
 
-def eligible_scopes(lines: DataFrame, scope: str) -> DataFrame:
-    """(scope): scopes with at least two families, where a span can have an independent witness."""
-    return lines.groupBy(scope).agg(F.min("family").alias("a"), F.max("family").alias("b")).where("a <> b").select(scope)
+    told = met.groupBy(F.col("len").alias("mask"), "unit").agg(
+        total(n > 0).alias("supported"), total(exact).alias("exact"), total((n > 0) & ~exact).alias("variant_only"), total(n > 1).alias("ambiguous"))
+    asked = eligible(lines, anchors, masks, scope, unit).groupBy("mask", "unit").agg(F.sum("eligible").alias("eligible"))
+    full = asked.join(told, ["mask", "unit"], "left")
+    counts = [F.coalesce(x, F.lit(0)).cast("long").alias(x) for x in ("supported", "exact", "variant_only", "ambiguous")]
+    return full.select("mask", "unit", "eligible", *counts, (F.col("eligible") - F.coalesce("supported", F.lit(0))).alias("abstained"))
 
 
 def census(lines: DataFrame, anchors: int, mask: int, scope: str, unit: str, max_middle: int = MAX_MIDDLE) -> DataFrame:
     """(unit, eligible, supported, exact, variant_only, ambiguous, abstained): counts of spans per unit."""
-    ids = ["doc_id", "line", "start"]
-    spans = masked_spans(lines, anchors, mask, "doc_id", scope, unit, "family")
-    spans = spans.join(eligible_scopes(lines, scope), scope, "left_semi")
-    index = anchor_index(lines, anchors, scope, max_middle)
-    # the gold answer rides along the join, so one aggregation by span is enough
-    asked = spans.select(*ids, scope, "l", "r", "gold", F.col("family").alias("own"))
-    met = asked.join(index, [scope, "l", "r"]).where("family <> own")
-    found = met.groupBy(*ids).agg(F.max((F.col("middle") == F.col("gold")).cast("int")).alias("exact"), F.countDistinct("middle").alias("n"))
-    full = spans.select(*ids, unit).join(found, ids, "left")
-    n, exact = F.coalesce("n", F.lit(0)), F.coalesce("exact", F.lit(0))
-    return full.groupBy(unit).agg(
-        F.count(F.lit(1)).alias("eligible"), F.count_if(n > 0).alias("supported"), F.count_if(exact == 1).alias("exact"),
-        F.count_if((n > 0) & (exact == 0)).alias("variant_only"), F.count_if(n > 1).alias("ambiguous"), F.count_if(n == 0).alias("abstained"))
+    return census_cells(lines, anchors, [mask], scope, unit, max_middle).drop("mask").withColumnRenamed("unit", unit)
 
 
 def census_grid(lines: DataFrame, anchors: list[int], masks: list[int], scope: str, unit: str) -> DataFrame:
-    """The census summed over all units for each anchor and mask length."""
+    """The census summed over all units for each anchor and mask length; the windows of an anchor length serve all masks."""
     cells = []
     for a in anchors:
-        for m in masks:
-            c = census(lines, a, m, scope, unit)
-            total = c.agg(*[F.sum(x).alias(x) for x in ("eligible", "supported", "exact", "variant_only", "ambiguous", "abstained")])
-            cells.append(total.select(F.lit(a).alias("anchors"), F.lit(m).alias("mask"), "*"))
+        sums = [F.sum(x).alias(x) for x in ("eligible", "supported", "exact", "variant_only", "ambiguous", "abstained")]
+        cells.append(census_cells(lines, a, masks, scope, unit).groupBy("mask").agg(*sums).select(F.lit(a).alias("anchors"), "*"))
     return reduce(DataFrame.unionByName, cells)
 
 
-def formulaicity(spans: DataFrame, lines: DataFrame, anchors: int, scope: str, unit: str) -> DataFrame:
-    """(l, r, units): in how many units each wanted anchor pair occurs, whatever it encloses."""
-    t = F.col("tokens")
-    starts = lines.where(F.size(t) >= 2 * anchors).select(scope, unit, "tokens", F.explode(F.sequence(F.lit(1), F.size(t) - (2 * anchors - 1))).alias("i"))
-    room = F.size(t) - (F.col("i") + 2 * anchors - 1)
-    windows = starts.select(scope, unit, "tokens", "i", F.explode(F.sequence(F.lit(0), F.least(F.lit(MAX_MIDDLE), room))).alias("m"))
-    keys = windows.select(scope, unit, key(F.slice(t, F.col("i"), anchors)).alias("l"), key(F.slice(t, F.col("i") + anchors + F.col("m"), anchors)).alias("r"))
-    wanted = spans.select(scope, "l", "r").distinct()
-    return keys.join(wanted, [scope, "l", "r"], "left_semi").where(F.col(unit).isNotNull()).distinct().groupBy(scope, "l", "r").agg(F.count(F.lit(1)).alias("units"))
+def supports(window_counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Votes before a span's own family is taken out, from ``counted``.
+
+    (k1, k2, m, s): support of each middle. (k1, k2, n_middles, total, levels): per pair, ``levels``
+    the distinct supports with their number of middles, highest first; of n votes there are at most
+    sqrt(2 n). (k1, k2, family, own): the supports of the middles a family itself proposes.
+    """
+    voters = window_counts.select(*PAIR, "m", "family").distinct()
+    middles = voters.groupBy(*PAIR, "m").agg(F.count(F.lit(1)).alias("s"))
+    levels = middles.groupBy(*PAIR, "s").agg(F.count(F.lit(1)).alias("n"))
+    pairs = levels.groupBy(*PAIR).agg(
+        F.sum("n").alias("n_middles"), F.sum(F.col("s") * F.col("n")).alias("total"), F.sort_array(F.collect_list(F.struct("s", "n")), asc=False).alias("levels"))
+    own = voters.join(middles, [*PAIR, "m"]).groupBy(*PAIR, "family").agg(F.collect_list("s").alias("own"))
+    return middles, pairs, own
+
+
+def _copies(value: Column, n: Column) -> Column:
+    """``value`` as often as ``n`` says, twice at most."""
+    return F.array_repeat(value, F.least(F.greatest(n, F.lit(0)), F.lit(2)).cast("int"))
+
+
+def _own_at(level: Column) -> Column:
+    """How many middles of the family itself have the support ``level``."""
+    return F.size(F.filter("own", lambda x: x == level))
+
+
+def standings(window_counts: DataFrame, masks: list[int]) -> DataFrame:
+    """(k1, k2, m, family, n_alt, total, top, runner_up, gold_support, margin, unique_top, dominance, top_exact): how spans stand, alike for all spans of one family with the same anchors and middle.
+
+    Spans without any proposal have no row.
+    """
+    middles, pairs, own = supports(window_counts)
+    spans = window_counts.where(F.col("len").isin(masks)).select(*PAIR, "m", "family").distinct()
+    met = spans.join(pairs, PAIR).join(middles, [*PAIR, "m"]).join(own, [*PAIR, "family"])
+    first, second = F.get("levels", F.lit(0)), F.get("levels", F.lit(1))
+    s1, n1 = first["s"], first["n"]
+    s2, n2 = F.coalesce(second["s"], F.lit(0)), F.coalesce(second["n"], F.lit(0))
+    of = {i: _own_at(level) for i, level in ((1, s1), (2, s2), (0, F.lit(1)))}
+    # two highest levels hold two middles at least, none of which falls below the third: the best two are among them
+    best = F.sort_array(F.concat(_copies(s1, n1 - of[1]), _copies(s1 - 1, of[1]), _copies(s2, n2 - of[2]), _copies(s2 - 1, of[2])), asc=False)
+    told = met.select(
+        *PAIR, "m", "family", (F.col("n_middles") - of[0]).alias("n_alt"), (F.col("total") - F.size("own")).alias("total"),
+        F.coalesce(F.get(best, F.lit(0)), F.lit(0)).alias("top"), F.coalesce(F.get(best, F.lit(1)), F.lit(0)).alias("runner_up"), (F.col("s") - 1).alias("gold_support"))
+    full = told.where("n_alt > 0").withColumn("margin", F.col("top") - F.col("runner_up")).withColumn("unique_top", F.col("margin") > 0)
+    return full.withColumn("dominance", F.col("top") / F.col("total")).withColumn("top_exact", F.col("unique_top") & (F.col("gold_support") == F.col("top")))
+
+
+def candidates(window_counts: DataFrame, masks: list[int], depth: int) -> DataFrame:
+    """(k1, k2, m, family, n_alt, gold_support, first, levels, own): the first ``depth`` proposals of spans, as ``standings`` alike for many.
+
+    ``first`` lists (rival, m, support), support down, then the proposal's own order; ``m`` is spelled
+    in ``window_counts``. Spans without any proposal have no row.
+    """
+    middles, pairs, own = supports(window_counts)
+    spans = window_counts.where(F.col("len").isin(masks)).select(*PAIR, "m", "family").distinct()
+    asked = spans.select(*PAIR, "family").distinct().join(own, [*PAIR, "family"])
+    most = asked.agg(F.max(F.size("own"))).first()[0] or 0
+    # a limit that does not depend on the row lets the ranking be cut before it is shuffled
+    w = Window.partitionBy(*PAIR).orderBy(F.desc("s"), "m")
+    ranked = middles.withColumn("r", F.row_number().over(w)).where(F.col("r") <= depth + most)
+    voters = window_counts.select(*PAIR, "m", "family").distinct().withColumn("mine", F.lit(1))
+    met = asked.select(*PAIR, "family", F.size("own").alias("k")).join(ranked, PAIR).where(F.col("r") <= depth + F.col("k"))
+    left = met.join(voters, [*PAIR, "m", "family"], "left").select(*PAIR, "family", "m", (F.col("s") - F.coalesce("mine", F.lit(0))).alias("support")).where("support > 0")
+    lists = left.groupBy(*PAIR, "family").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("support")).alias("rival"), "m", "support"))), 1, depth).alias("first"))
+    full = spans.join(pairs, PAIR).join(middles, [*PAIR, "m"]).join(own, [*PAIR, "family"]).join(lists, [*PAIR, "family"])
+    return full.select(*PAIR, "m", "family", (F.col("n_middles") - _own_at(F.lit(1))).alias("n_alt"), (F.col("s") - 1).alias("gold_support"), "first", "levels", "own")
+
+
+def gold_rank(first: Column, gold: Column) -> Column:
+    """Place of the gold middle among the first proposals; null where it is not there."""
+    at = F.array_position(F.transform(first, lambda x: x["m"]), gold)
+    return F.when(at > 0, at)
+
+
+def tied_size(first: Column, n_alt: Column, levels: Column, own: Column, depth: int) -> tuple[Column, Column]:
+    """(support, size) of the proposals shown to ``depth`` with all that are tied with the last of them."""
+    last = F.when(n_alt > depth, F.get(first, F.lit(depth - 1))["support"]).otherwise(F.lit(1))
+    above = F.aggregate(levels, F.lit(0).cast("long"), lambda a, x: a + F.when(x["s"] >= last, x["n"]).otherwise(0))
+    return last, F.when(n_alt > depth, above - F.size(F.filter(own, lambda x: x == last))).otherwise(n_alt)
+
+
+def formulaicity(window_rows: DataFrame, masks: list[int], scopes: DataFrame) -> DataFrame:
+    """(k1, k2, units): in how many units each anchor pair of a span occurs, whatever it encloses."""
+    wanted = window_rows.where(F.col("len").isin(masks)).join(scopes, "scope", "left_semi").select(*PAIR).distinct()
+    return window_rows.where("unit is not null").select(*PAIR, "unit").distinct().groupBy(*PAIR).agg(F.count(F.lit(1)).alias("units")).join(wanted, PAIR, "left_semi")
 
 
 def occurrence_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

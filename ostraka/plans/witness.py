@@ -21,24 +21,33 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return text.lines(named, "scope", "unit").join(fam, "doc_id")
 
 
-def _spans(lines: DataFrame, anchors: int = 2, mask: int = 1) -> DataFrame:
-    spans = witness.masked_spans(lines, anchors, mask, "doc_id", "scope", "unit", "family")
-    return spans.join(witness.eligible_scopes(lines, "scope"), "scope", "left_semi")
+SPAN = [*witness.PAIR, "m", "family"]
 
 
-def _votes(lines: DataFrame, spans: DataFrame, anchors: int = 2) -> DataFrame:
-    return witness.votes(spans, witness.anchor_index(lines, anchors, "scope"), "scope", IDS)
+def _counted(spark: SparkSession, lines: DataFrame, anchors: int = 2, masks: tuple[int, ...] = (1,), spelled: bool = False) -> DataFrame:
+    """Windows counted and written: votes, levels and questions all read them."""
+    w = witness.counted(lines, anchors, list(masks), "scope", "unit", spelled=spelled)
+    return Scratch(spark, "windows").cut(w, "counted")
 
 
-def _standings(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _lines(spark, sf)
-    spans = _spans(lines)
-    return witness.standings(spans, _votes(lines, spans), IDS)
+def _standings(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    """(``by``, features, c): spans with any proposal, counted where they stand alike."""
+    w = _counted(spark, _lines(spark, sf))
+    spans = w.where("len = 1").groupBy(*SPAN, *by).agg(F.sum("c").alias("c"))
+    return spans.join(witness.standings(w, [1]), SPAN)
+
+
+def _eligible(spark: SparkSession, sf: str) -> DataFrame:
+    return witness.eligible(_lines(spark, sf), 2, [1], "scope", "unit")
 
 
 def _profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Written once: rules, folds and selections read the counts, never the spans again."""
-    return Scratch(spark, "profiles").cut(cal.profile(_standings(spark, sf), "unit"), "profiles")
+    told = cal.profile(_standings(spark, sf, "unit"), "unit", weight="c")
+    given = told.groupBy("unit").agg(F.sum("n").alias("told"))
+    asked = _eligible(spark, sf).groupBy("unit").agg(F.sum("eligible").alias("eligible"))
+    silent = asked.join(given, "unit", "left").select("unit", (F.col("eligible") - F.coalesce("told", F.lit(0))).alias("n"))
+    return Scratch(spark, "profiles").cut(told.unionByName(cal.abstaining(silent, "unit")), "profiles")
 
 
 def witness_census_a2m1(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +66,9 @@ def witness_census_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def family_vote_standings(spark: SparkSession, sf: str) -> DataFrame:
-    s = _standings(spark, sf).where("n_alt > 0")
+    lines = Scratch(spark, "standings").cut(_lines(spark, sf), "lines")
+    told = witness.standings(_counted(spark, lines), [1])
+    s = witness.windows(lines, 2, "scope", "unit", 1).where("len = 1").join(told, SPAN)
     return s.select("doc_id", "line", "start", "n_alt", "total", "top", "runner_up", "margin", "unique_top", "top_exact", F.round("dominance", 6).alias("dominance"))
 
 
@@ -70,7 +81,7 @@ def rule_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def folds_by_weight(spark: SparkSession, sf: str) -> DataFrame:
-    weights = _spans(_lines(spark, sf)).groupBy("unit").agg(F.count(F.lit(1)).alias("spans"))
+    weights = _eligible(spark, sf).groupBy("unit").agg(F.sum("eligible").alias("spans"))
     return cal.greedy_folds(weights, "unit", "spans", 5)
 
 
@@ -83,76 +94,88 @@ def cross_calibration(spark: SparkSession, sf: str) -> DataFrame:
 
 def cross_calibration_strata(spark: SparkSession, sf: str) -> DataFrame:
     """Counts over three strata at once: support available, language, source."""
-    s = _standings(spark, sf)
+    told = _standings(spark, sf, "scope", "unit")
+    given = told.groupBy("scope", "unit").agg(F.sum("c").alias("told"))
+    asked = _eligible(spark, sf).join(given, ["scope", "unit"], "left").select("scope", "unit", (F.col("eligible") - F.coalesce("told", F.lit(0))).alias("c"))
+    off = F.lit(False)
+    silent = asked.where("c > 0").select("scope", "unit", F.lit(0).cast("long").alias("total"), off.alias("unique_top"), off.alias("top_exact"), "c")
+    s = told.select("scope", "unit", "total", "unique_top", "top_exact", "c").unionByName(silent)
     band = F.when(F.col("total") == 0, "none").when(F.col("total") == 1, "one_family").when(F.col("total") <= 3, "two_to_three_families").otherwise("four_plus_families")
     g = s.withColumn("availability", band).groupingSets([[F.col("availability")], [F.col("scope")], [F.col("unit")]], "availability", "scope", "unit")
-    return g.agg(F.count(F.lit(1)).alias("spans"), F.count_if("unique_top").alias("unique_tops"), F.count_if("top_exact").alias("exact"))
+    return g.agg(F.sum("c").alias("spans"), F.sum(F.when(F.col("unique_top"), F.col("c")).otherwise(0)).alias("unique_tops"), F.sum(F.when(F.col("top_exact"), F.col("c")).otherwise(0)).alias("exact"))
 
 
 def formulaicity(spark: SparkSession, sf: str) -> DataFrame:
     lines = _lines(spark, sf)
-    spans = _spans(lines)
-    df = witness.formulaicity(spans, lines, 2, "scope", "unit")
+    df = witness.formulaicity(witness.windows(lines, 2, "scope", "unit"), [1], witness.eligible_scopes(lines, "scope"))
     band = F.when(F.col("units") <= 1, "df_1").when(F.col("units") <= 5, "df_2_5").otherwise("df_6_plus")
     return df.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("anchors"), F.sum("units").alias("units"))
 
 
-def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    lines = _lines(spark, sf)
-    spans = _spans(lines)
-    return cal.ranked(_votes(lines, spans), IDS).join(spans.select(*IDS, "gold"), IDS)
+def _candidates(spark: SparkSession, sf: str, depth: int = 5) -> DataFrame:
+    """Spans with any proposal, with their first proposals and c, the number of spans alike."""
+    w = _counted(spark, _lines(spark, sf), spelled=True)
+    spans = w.where("len = 1").groupBy(*SPAN).agg(F.sum("c").alias("c"))
+    return spans.join(witness.candidates(w, [1], depth), SPAN).withColumn("gold_rank", witness.gold_rank(F.col("first"), F.col("m")))
 
 
 def candidate_set_depths(spark: SparkSession, sf: str) -> DataFrame:
-    r = _ranked(spark, sf)
-    per = r.groupBy(*IDS).agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("middle") == F.col("gold"), F.col("rank"))).alias("gold_rank"))
-    at = per.select("n", "gold_rank", F.explode(F.array(*[F.lit(d) for d in (1, 2, 3, 5)])).alias("depth"))
+    at = _candidates(spark, sf).select("n_alt", "gold_rank", "c", F.explode(F.array(*[F.lit(d) for d in (1, 2, 3, 5)])).alias("depth"))
     low, high = wilson(F.col("included"), F.col("spans"))
-    g = at.groupBy("depth").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("gold_rank") <= F.col("depth")).alias("included"), F.sum(F.least("depth", "n")).alias("shown"))
+    included = F.sum(F.when(F.col("gold_rank") <= F.col("depth"), F.col("c")).otherwise(0))
+    g = at.groupBy("depth").agg(F.sum("c").alias("spans"), included.alias("included"), F.sum(F.col("c") * F.least("depth", "n_alt")).alias("shown"))
     return g.select("depth", "spans", "included", "shown", pct(F.col("included"), F.col("spans")).alias("inclusion"), low.alias("lower"), high.alias("upper"))
 
 
 def rank_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    r = _ranked(spark, sf).where("rank <= 5")
-    return r.groupBy("rank").agg(F.count(F.lit(1)).alias("available"), F.count_if(F.col("middle") == F.col("gold")).alias("successes"))
+    r = _candidates(spark, sf).select("n_alt", "gold_rank", "c", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).where("rank <= n_alt")
+    return r.groupBy("rank").agg(F.sum("c").alias("available"), F.sum(F.when(F.col("gold_rank") == F.col("rank"), F.col("c")).otherwise(0)).alias("successes"))
 
 
 def disagreement_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
-    r = _ranked(spark, sf)
-    size = F.when(F.col("middle") == "", 0).otherwise(F.size(F.split("middle", witness.MARK)))
-    per = r.groupBy(*IDS).agg(
-        F.min(F.when(F.col("middle") == F.col("gold"), F.col("rank"))).alias("g"), F.max(F.when(F.col("rank") == 1, size)).alias("top_len"),
-        F.max(F.when(F.col("rank") == 1, F.col("support"))).alias("top"), F.count(F.lit(1)).alias("n"))
-    cat = cal.disagreement(F.col("g"), F.col("top_len"), F.lit(1))
-    return per.groupBy(cat.alias("category")).agg(
-        F.count(F.lit(1)).alias("spans"), F.count_if(F.col("n") > 1).alias("several_middles"), F.count_if(F.col("top") > 1).alias("several_families"), F.count_if(F.col("g").isNull()).alias("absent"))
+    best = F.get("first", F.lit(0))
+    size = F.when(best["m"] == "", 0).otherwise(F.size(F.split(best["m"], witness.MARK)))
+    r = _candidates(spark, sf).select("n_alt", "c", "gold_support", size.alias("top_len"), best["support"].alias("top"), "gold_rank")
+    attested = F.when(F.col("gold_rank") == 1, 1).when(F.col("gold_support") > 0, 2)
+    cat = cal.disagreement(attested, F.col("top_len"), F.lit(1))
+
+    def total(condition):
+        return F.sum(F.when(condition, F.col("c")).otherwise(0))
+
+    return r.groupBy(cat.alias("category")).agg(
+        F.sum("c").alias("spans"), total(F.col("n_alt") > 1).alias("several_middles"), total(F.col("top") > 1).alias("several_families"), total(F.col("gold_support") == 0).alias("absent"))
 
 
 def anchor_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    spans = _spans(_lines(spark, sf))
-    per = spans.groupBy("doc_id", "l", "r").agg(F.count(F.lit(1)).alias("occurrences"))
+    lines = _lines(spark, sf)
+    spans = witness.windows(lines, 2, "scope", "unit", 1).where("len = 1").join(witness.eligible_scopes(lines, "scope"), "scope", "left_semi")
+    per = spans.groupBy("doc_id", *witness.PAIR).agg(F.count(F.lit(1)).alias("occurrences"))
     return per.groupBy("occurrences").agg(F.count(F.lit(1)).alias("anchors"))
 
 
+HORIZON_MASKS = [2, 3, 4, 5]
+
+
 def adaptive_horizon(spark: SparkSession, sf: str) -> DataFrame:
-    """Masks 2 and 3: the longest anchors (3, 2, 1) with any proposal, shown tie-completely to depth 5."""
+    """Masks 2 to 5: the longest anchors (3, 2, 1) with any proposal, shown tie-completely to depth 5."""
     lines = Scratch(spark, "horizon").cut(_lines(spark, sf), "lines")
-    out = None
-    for mask in (2, 3):
-        base = _spans(lines, 1, mask).select(*IDS, "gold")
-        shown = None
-        for a in (3, 2, 1):
-            spans = _spans(lines, a, mask)
-            v = cal.tie_complete(_votes(lines, spans, a), IDS, 5).join(spans.select(*IDS, "gold"), IDS)
-            s = v.groupBy(*IDS).agg(F.count(F.lit(1)).alias("size"), F.max((F.col("middle") == F.col("gold")).cast("int")).alias("hit")).withColumn("a", F.lit(a))
-            shown = s if shown is None else shown.unionByName(s)
-        best = shown.groupBy(*IDS).agg(F.max(F.struct("a", "size", "hit")).alias("b"))
-        full = base.join(best, IDS, "left")
-        g = full.agg(F.count(F.lit(1)).alias("eligible"), F.count("b").alias("presented"), F.count_if(F.col("b.hit") == 1).alias("included"),
-                     F.count_if(F.col("b.size") > 5).alias("tie_expanded"), F.count_if(F.col("b.a") == 3).alias("anchor3"), F.count_if(F.col("b.a") == 2).alias("anchor2"), F.count_if(F.col("b.a") == 1).alias("anchor1"))
-        g = g.select(F.lit(mask).alias("mask"), "*", pct(F.col("presented"), F.col("eligible")).alias("coverage"), pct(F.col("included"), F.col("eligible")).alias("effective"))
-        out = g if out is None else out.unionByName(g)
-    return out
+    shown = None
+    for a in (3, 2, 1):
+        w = _counted(spark, lines, a, tuple(HORIZON_MASKS), spelled=True)
+        told = witness.candidates(w, HORIZON_MASKS, 5)
+        last, size = witness.tied_size(F.col("first"), F.col("n_alt"), F.col("levels"), F.col("own"), 5)
+        hit = (F.col("gold_support") > 0) & (F.col("gold_support") >= last)
+        sized = told.select(*SPAN, size.alias("size"), hit.cast("int").alias("hit"))
+        spans = witness.windows(lines, a, "scope", "unit", max(HORIZON_MASKS), spelled=True).where(F.col("len").isin(HORIZON_MASKS))
+        s = spans.join(sized, SPAN).select(*IDS, F.col("len").alias("mask"), F.lit(a).alias("a"), "size", "hit")
+        shown = s if shown is None else shown.unionByName(s)
+    best = shown.groupBy(*IDS, "mask").agg(F.max(F.struct("a", "size", "hit")).alias("b"))
+    told = best.groupBy("mask").agg(
+        F.count(F.lit(1)).alias("presented"), F.count_if(F.col("b.hit") == 1).alias("included"), F.count_if(F.col("b.size") > 5).alias("tie_expanded"),
+        *[F.count_if(F.col("b.a") == a).alias(f"anchor{a}") for a in (3, 2, 1)])
+    asked = witness.eligible(lines, 1, HORIZON_MASKS, "scope", "unit").groupBy("mask").agg(F.sum("eligible").alias("eligible"))
+    g = asked.join(told, "mask", "left").na.fill(0).select("mask", "eligible", "presented", "included", "tie_expanded", "anchor3", "anchor2", "anchor1")
+    return g.select("*", pct(F.col("presented"), F.col("eligible")).alias("coverage"), pct(F.col("included"), F.col("eligible")).alias("effective"))
 
 
 def _sql_spans(a: int, m: int, tag: str = "") -> str:
@@ -283,5 +306,5 @@ SQL = {
         "WHEN tl < 1 THEN 'ATTESTED_READING_ABSENT_TOP_SHORTER' WHEN tl = 1 THEN 'ATTESTED_READING_ABSENT_TOP_EQUAL_LENGTH_DIFFERENT' ELSE 'ATTESTED_READING_ABSENT_TOP_LONGER' END AS category, count(*) AS spans, "
         "count(*) FILTER (n > 1) AS several_middles, count(*) FILTER (top > 1) AS several_families, count(*) FILTER (g IS NULL) AS absent FROM per GROUP BY 1",
     "anchor_repeats": f"WITH {_LINES}, {_sql_spans(2, 1)}, per AS (SELECT doc_id, l, r, count(*) AS occurrences FROM span GROUP BY ALL) SELECT occurrences, count(*) AS anchors FROM per GROUP BY occurrences",
-    "adaptive_horizon": f"WITH {_LINES}{_sql_horizon(2)}{_sql_horizon(3)}, h AS (SELECT * FROM hz_2 UNION ALL SELECT * FROM hz_3) SELECT *, {_sql_pct('presented', 'eligible')} AS coverage, {_sql_pct('included', 'eligible')} AS effective FROM h",
+    "adaptive_horizon": f"WITH {_LINES}{''.join(map(_sql_horizon, HORIZON_MASKS))}, h AS ({' UNION ALL '.join(f'SELECT * FROM hz_{m}' for m in HORIZON_MASKS)}) SELECT *, {_sql_pct('presented', 'eligible')} AS coverage, {_sql_pct('included', 'eligible')} AS effective FROM h",
 }

@@ -1,6 +1,7 @@
 """Small fixtures of the library's own operators."""
 
 import json
+import random
 import zipfile
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from ostraka.functions.stats import fisher_exact, wilson
 from ostraka.operators import align, audit, calibration, retrieval, structure, synth, text, witness
 from ostraka.sources import archives
+from ostraka.storage import Scratch
 from ostraka.streaming import events
 
 
@@ -18,23 +20,66 @@ def _lines(spark, rows):
 
 def test_spans_stay_inside_lines(spark):
     lines = _lines(spark, [(1, "s", "u", 1, 0, ["a", "b", "c"]), (1, "s", "u", 1, 1, ["d", "e", "f"]), (1, "s", "u", 1, 2, ["g"])])
-    got = {(r.l, r.gold, r.r) for r in witness.masked_spans(lines, 1, 1, "doc_id").collect()}
-    assert got == {("a", "b", "c"), ("d", "e", "f")}
+    got = {(r.line, r.start, r.m) for r in witness.masked_spans(lines, 1, 1, "scope", "unit").collect()}
+    assert got == {(0, 1, "b"), (1, 1, "e")}
 
 
 def test_votes_and_omission(spark):
     rows = [(1, "s", "u", 1, 0, ["L", "g", "R"]), (2, "s", "u", 2, 0, ["L", "g", "R"]), (3, "s", "u", 3, 0, ["L", "v", "w", "R"]), (4, "s", "u", 4, 0, ["L", "R"]), (5, "s", "u", 2, 0, ["L", "g", "R"]), (6, "t", "u", 6, 0, ["L", "z", "R"])]
     lines = _lines(spark, rows)
-    spans = witness.masked_spans(lines, 1, 1, "doc_id", "scope", "family").where("doc_id = 1")
-    ids = ["doc_id", "line", "start"]
-    votes = witness.votes(spans, witness.anchor_index(lines, 1, "scope"), "scope", ids)
-    assert {r.middle: r.support for r in votes.collect()} == {"g": 1, "v\x1fw": 1, "": 1}
-    s = witness.standings(spans, votes, ids).first()
+    w = witness.counted(lines, 1, [1], "scope", "unit", spelled=True)
+    c = {r.family: r for r in witness.candidates(w, [1], 5).where("m = 'g'").collect()}
+    assert {x.m: x.support for x in c[1].first} == {"g": 1, "v\x1fw": 1, "": 1} and c[1].n_alt == 3
+    s = witness.standings(w, [1]).where("family = 1").first()
     assert (s.n_alt, s.top, s.runner_up, s.unique_top, s.top_exact) == (3, 1, 1, False, False)
     census = witness.census(lines, 1, 1, "scope", "unit").first()
     assert census.eligible == 5 and census.exact == 3  # the two middles of the long line and the lone scope do not count
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_witness_counts_match_votes_cast_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    rows = [(d, rng.choice("st"), rng.choice("uv"), d // 2, i, [rng.choice("ab" if seed % 2 else "abcx") for _ in range(rng.randint(0, 9))]) for d in range(14) for i in range(rng.randint(1, 3))]
+    rows = [r for r in rows if r[5]]
+    index = {}
+    for d, scope, _, f, _, t in rows:
+        for i in range(len(t)):
+            for n in range(13):
+                if i + 2 + n <= len(t):
+                    index.setdefault((scope, t[i], t[i + 1 + n]), set()).add((tuple(t[i + 1:i + 1 + n]), f))
+    families = {}
+    for r in rows:
+        families.setdefault(r[1], set()).add(r[3])
+    want, lists, n_spans = {}, {}, {}
+    for d, scope, unit, f, line, t in rows:
+        for i in range(1, len(t) - 1):
+            if len(families[scope]) > 1:
+                n_spans[unit] = n_spans.get(unit, 0) + 1
+            votes = {}
+            for m, g in index[(scope, t[i - 1], t[i + 1])]:
+                if g != f:
+                    votes[m] = votes.get(m, 0) + 1
+            if votes:
+                best = sorted(votes.values(), reverse=True) + [0]
+                want[(d, line, i)] = (len(votes), sum(votes.values()), best[0], best[1], votes.get((t[i],), 0))
+                lists[(d, line, i)] = sorted(((-s, "\x1f".join(m)) for m, s in votes.items()))
+    lines = _lines(spark, rows)
+    spans = witness.masked_spans(lines, 1, 1, "scope", "unit")
+    w = Scratch(spark, "t").cut(witness.counted(lines, 1, [1], "scope", "unit", spelled=True), "w")
+    key = [*witness.PAIR, "m", "family"]
+    got = {(r.doc_id, r.line, r.start): (r.n_alt, r.total, r.top, r.runner_up, r.gold_support) for r in spans.join(witness.standings(w, [1]), key).collect()}
+    assert got == want and want
+    last, size = witness.tied_size(F.col("first"), F.col("n_alt"), F.col("levels"), F.col("own"), 3)
+    for r in spans.join(witness.candidates(w, [1], 3).withColumn("last", last).withColumn("size", size), key).collect():
+        full = lists[(r.doc_id, r.line, r.start)]
+        assert [(-x.support, x.m) for x in r.first] == full[:3]
+        assert r.size == sum(-s >= -full[min(3, len(full)) - 1][0] for s, _ in full)
+    census = {r.unit: r for r in witness.census(lines, 1, 1, "scope", "unit").collect()}
+    assert {u: r.eligible for u, r in census.items()} == n_spans
+    assert sum(r.supported for r in census.values()) == len(want) and sum(r.exact for r in census.values()) == sum(x[4] > 0 for x in want.values())
+    assert sum(r.ambiguous for r in census.values()) == sum(x[0] > 1 for x in want.values())
+
+
 def test_tie_complete_and_disagreement(spark):
     df = spark.createDataFrame([(1, m, s) for m, s in (("a", 3), ("b", 2), ("c", 1), ("d", 1))], "sid int, middle string, support int")
     assert calibration.tie_complete(df, ["sid"], 3).count() == 4
