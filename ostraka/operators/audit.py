@@ -11,8 +11,6 @@ from pyspark.sql.window import Window
 from ..functions.strings import trimmed
 
 LABELS = ("train", "dev", "test", "discovery")
-#: Evidence classes in interpretive order, the least interpretive first.
-EVIDENCE = ("DIRECT_OBSERVATION", "SOURCE_METADATA", "EDITORIAL", "CATALOG_ASSISTED", "MODEL_DERIVED")
 
 
 def clean_label(c: Column) -> Column:
@@ -83,29 +81,6 @@ def reconcile(left: DataFrame, right: DataFrame, passes: list[tuple[str, object]
     return reduce(DataFrame.unionByName, out)
 
 
-def lineage(fields: DataFrame, edges: DataFrame, max_depth: int = 32) -> DataFrame:
-    """(field, declared, effective): the most interpretive class among a field and all it depends on.
-
-    ``fields`` has field and declared; ``edges`` has field and depends_on. The closure is walked
-    level by level; a cycle, which would walk on, raises.
-    """
-    rank = F.array_position(F.array(*[F.lit(e) for e in EVIDENCE]), F.col("declared"))
-    own = fields.select(F.col("field").alias("depends_on"), rank.alias("rank"))
-    reach = fields.select("field", F.col("field").alias("depends_on"))
-    front = reach
-    for _ in range(max_depth):
-        front = front.select("field", F.col("depends_on").alias("mid")).join(edges.select(F.col("field").alias("mid"), "depends_on"), "mid").select("field", "depends_on").distinct()
-        if front.isEmpty():
-            break
-        if not front.where("field = depends_on").isEmpty():
-            raise ValueError("a field depends on itself")
-        reach = reach.unionByName(front)
-    else:
-        raise ValueError("dependencies are deeper than max_depth")
-    top = reach.join(own, "depends_on").groupBy("field").agg(F.max("rank").alias("rank"))
-    return fields.join(top, "field").select("field", "declared", F.element_at(F.array(*[F.lit(e) for e in EVIDENCE]), F.col("rank").cast("int")).alias("effective"))
-
-
 def dense_topk(vectors: DataFrame, k: int, shard: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): nearest vectors by cosine of every vector whose id is divisible by 100.
 

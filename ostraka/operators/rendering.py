@@ -131,7 +131,9 @@ def side_column_edge(label: Column) -> dict[str, Column]:
     edge = (F.when(s.rlike(r"\bu\.\s*Rd\.?"), "lower").when(s.rlike(r"\bo\.\s*Rd\.?"), "upper").when(s.rlike(r"\blk\.\s*Rd\.?"), "left").when(s.rlike(r"\b(r|re)\.\s*Rd\.?"), "right"))
     side = (F.when(s.rlike(r"\bSeite\s*A\b"), "side_A").when(s.rlike(r"\bSeite\s*B\b"), "side_B")
             .when(s.rlike(r"\bVs\.?") | s.rlike(r"(?i)\bobv\.?"), "obverse").when(s.rlike(r"\bRs\.?") | s.rlike(r"(?i)\brev\.?"), "reverse"))
-    roman, small = F.regexp_extract(s, r"\b(I{1,3}|IV|VI?)\b", 1), F.regexp_extract(s, r"\b(i{1,3}|iv|vi?)\b", 1)
+    # a numeral stands by itself: what is a letter beside it must not depend on the dialect's word boundary
+    off = r"[^\p{L}\p{M}\p{N}_]"
+    roman, small = (F.regexp_extract(s, rf"(?:^|{off})({n})(?:$|{off})", 1) for n in ("I{1,3}|IV|VI?", "i{1,3}|iv|vi?"))
     column = (F.when(s.rlike(r"(?i)\b(lk|li|l)\.\s*(Kol|col)\.?"), "left").when(s.rlike(r"(?i)\b(r|re)\.\s*(Kol|col)\.?"), "right")
               .when(roman != "", roman).when(small != "", F.upper(small)))
     return {"side": side, "column": column, "edge": edge, "uncertain": F.coalesce((F.instr(s, "?") > 0) | (F.instr(s, "!") > 0), F.lit(False))}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, text
 from ..operators.rejects import loaded
+from ..operators.rendering import SPECIALS
+from ..operators.rendering import vocabulary as vocabulary_of
 from ..sources.tables import table
 from .rejects import _JUDGED
 
@@ -52,7 +54,7 @@ def access_gates(spark: SparkSession, sf: str) -> DataFrame:
     seen = stems.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     lab = _labels(spark, sf).groupBy("doc_id").agg(F.countDistinct("label").alias("k"), F.min("label").alias("label"))
     gate = (F.when(F.col("n") > 1, "QUARANTINE_DUPLICATE_STEM").when(F.col("k") > 1, "QUARANTINE_SPLIT_AMBIGUOUS").when(F.col("label").isNull(), "QUARANTINE_UNMATCHED")
-            .when(F.col("label") == "test", "PROTECTED_TEST").otherwise(F.concat(F.lit("ALLOWED_"), F.upper("label"))))
+            .when(F.col("label") == "test", "PROTECTED_TEST").when(~F.col("label").isin(*audit.LABELS), "QUARANTINE_UNKNOWN_SPLIT").otherwise(F.concat(F.lit("ALLOWED_"), F.upper("label"))))
     return seen.join(lab, "doc_id", "left").groupBy(gate.alias("gate")).agg(F.count(F.lit(1)).alias("stems"))
 
 
@@ -113,10 +115,7 @@ def auc_by_status(spark: SparkSession, sf: str) -> DataFrame:
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of at least two train fragments, numbered in order after the special tokens."""
     frags, train = _fragments_of(spark, sf, "train")
-    df = frags.join(train, "parent", "left_semi").select("fragment_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
-    from pyspark.sql.window import Window
-
-    return df.select("token", "df", (F.row_number().over(Window.orderBy("token")) + 3).alias("id"))
+    return vocabulary_of(frags.join(train, "parent", "left_semi"), "fragment_id")
 
 
 def _fragments_of(spark: SparkSession, sf: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -153,15 +152,6 @@ def quality_contracts(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-#: A registry of fields with declared classes and what they are derived from.
-_FIELDS = [("text", "DIRECT_OBSERVATION"), ("lang", "SOURCE_METADATA"), ("cth", "CATALOG_ASSISTED"), ("restored", "EDITORIAL"), ("tokens", "DIRECT_OBSERVATION"), ("family", "DIRECT_OBSERVATION"), ("score", "MODEL_DERIVED"), ("span", "DIRECT_OBSERVATION"), ("scope", "SOURCE_METADATA")]
-_EDGES = [("tokens", "text"), ("tokens", "restored"), ("family", "text"), ("span", "tokens"), ("span", "scope"), ("scope", "cth"), ("score", "span")]
-
-
-def evidence_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.lineage(spark.createDataFrame(_FIELDS, "field string, declared string"), spark.createDataFrame(_EDGES, "field string, depends_on string"))
-
-
 def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     found = audit.dense_topk(table(spark, sf, "embeddings", "vec_id", "embedding"), 10)
     return found.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
@@ -196,7 +186,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DE
 
 QUERIES = {f.__name__: f for f in (
     greedy_split, leakage_check, split_crosstab, sign_totals, duplicate_topology, access_gates, error_log_versions, identifier_reconciliation, series_counts, pair_budget,
-    exact_text_classes, length_percentiles, field_coverage, auc_by_status, vocabulary, oov_rate, quality_contracts, evidence_lineage, cosine_topk, cosine_label_best)}
+    exact_text_classes, length_percentiles, field_coverage, auc_by_status, vocabulary, oov_rate, quality_contracts, cosine_topk, cosine_label_best)}
 
 SQL = {
     "greedy_split": f"""WITH RECURSIVE {_L}, w AS (SELECT cth, docs, row_number() OVER (ORDER BY docs DESC, md5(CAST(cth AS VARCHAR))) AS k FROM (SELECT cth, count(DISTINCT doc_id) AS docs FROM lab WHERE cth IS NOT NULL GROUP BY cth HAVING NOT bool_or(coalesce(is_bin, false)) AND count(DISTINCT doc_id) > 0)),
@@ -208,7 +198,7 @@ SQL = {
     "sign_totals": f"WITH {_L}, {_F}, o AS (SELECT doc_id, min(label) AS label FROM lab WHERE label IS NOT NULL GROUP BY doc_id HAVING min(label) = max(label)) SELECT label, count(*) AS fragments, CAST(sum(len(t)) AS BIGINT) AS tokens, CAST(sum(len(list_filter(t, lambda z: z = 'x'))) AS BIGINT) AS worn FROM fg JOIN o ON o.doc_id = fg.parent GROUP BY ROLLUP (label)",
     "duplicate_topology": f"WITH {_L}, p AS (SELECT doc_id, count(*) AS n, count(DISTINCT cth) AS c, count(DISTINCT label) AS l FROM lab GROUP BY doc_id HAVING count(*) > 1) SELECT CASE WHEN l > 1 THEN 'cross_split' WHEN c > 1 THEN 'cross_cth_same_split' ELSE 'same_cth' END AS kind, count(*) AS documents, CAST(sum(n) AS BIGINT) AS rows FROM p GROUP BY 1",
     "access_gates": f"WITH {_L}, s AS (SELECT {_STEM} AS doc_id, count(*) AS n FROM parse_errors WHERE file IS NOT NULL GROUP BY 1), b AS (SELECT doc_id, count(DISTINCT label) AS k, min(label) AS label FROM lab GROUP BY doc_id) "
-                    "SELECT CASE WHEN n > 1 THEN 'QUARANTINE_DUPLICATE_STEM' WHEN k > 1 THEN 'QUARANTINE_SPLIT_AMBIGUOUS' WHEN label IS NULL THEN 'QUARANTINE_UNMATCHED' WHEN label = 'test' THEN 'PROTECTED_TEST' ELSE 'ALLOWED_' || upper(label) END AS gate, count(*) AS stems FROM s LEFT JOIN b USING (doc_id) GROUP BY 1",
+                    "SELECT CASE WHEN n > 1 THEN 'QUARANTINE_DUPLICATE_STEM' WHEN k > 1 THEN 'QUARANTINE_SPLIT_AMBIGUOUS' WHEN label IS NULL THEN 'QUARANTINE_UNMATCHED' WHEN label = 'test' THEN 'PROTECTED_TEST' WHEN label NOT IN ('train', 'dev', 'test', 'discovery') THEN 'QUARANTINE_UNKNOWN_SPLIT' ELSE 'ALLOWED_' || upper(label) END AS gate, count(*) AS stems FROM s LEFT JOIN b USING (doc_id) GROUP BY 1",
     "error_log_versions": _JUDGED + ", a AS (SELECT file, min(error) AS x FROM parse_errors WHERE file IS NOT NULL GROUP BY file), b AS (SELECT file, min(error) AS y FROM judged WHERE reason IS NULL GROUP BY file) "
                           "SELECT CASE WHEN b.file IS NULL THEN 'only_left' WHEN a.file IS NULL THEN 'only_right' WHEN x IS NOT DISTINCT FROM y THEN 'equal' ELSE 'changed' END AS status, count(*) AS keys FROM a FULL JOIN b ON a.file = b.file GROUP BY 1",
     "identifier_reconciliation": _sql_reconcile(),
@@ -219,7 +209,7 @@ SQL = {
     "field_coverage": "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS field, count({c}) AS present, count(*) AS total FROM documents" for c in ("text", "lang", "source", "cth", "doc_kind")) + ") SELECT *, round(100.0 * present / CAST(total AS DOUBLE), 2) AS percent FROM c",
     "auc_by_status": "WITH p AS (SELECT l_linestatus, l_discount, count(*) FILTER (l_returnflag = 'R') AS p, count(*) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY ALL), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY l_linestatus ORDER BY l_discount ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM p) "
                      "SELECT l_linestatus, CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives, CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN round(sum(p * (below + n / 2.0::DOUBLE)) / (CAST(sum(p) AS DOUBLE) * sum(n)), 6) END AS auc FROM b GROUP BY 1",
-    "vocabulary": f"WITH {_L}, {_F}, v AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM fg WHERE parent IN (SELECT doc_id FROM lab WHERE label = 'train')) GROUP BY token HAVING count(*) >= 2) SELECT token, df, CAST(row_number() OVER (ORDER BY token) + 3 AS INTEGER) AS id FROM v",
+    "vocabulary": f"WITH {_L}, {_F}, v AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM fg WHERE parent IN (SELECT doc_id FROM lab WHERE label = 'train')) GROUP BY token HAVING count(*) >= 2) SELECT token, df, row_number() OVER (ORDER BY token) + {len(SPECIALS) - 1} AS id FROM v",
     "oov_rate": f"WITH {_L}, {_F}, v AS (SELECT DISTINCT unnest(t) AS token FROM fg WHERE parent IN (SELECT doc_id FROM lab WHERE label = 'train')), d AS (SELECT unnest(t) AS token FROM fg WHERE parent IN (SELECT doc_id FROM lab WHERE label = 'dev')) "
                 "SELECT count(*) AS tokens, count(*) FILTER (v.token IS NULL) AS unknown, round(avg(CASE WHEN v.token IS NULL THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS rate FROM d LEFT JOIN v USING (token)",
     "quality_contracts": f"""WITH {_L}, g AS (SELECT CASE WHEN label IS NULL THEN 'guard_missing' WHEN label NOT IN ('train', 'dev', 'test', 'discovery') THEN 'guard_unknown' WHEN label = 'test' THEN 'guard_test' END AS contract
@@ -228,9 +218,6 @@ SQL = {
         UNION ALL SELECT 'unique_ids', count(*) FROM (SELECT doc_id FROM splits GROUP BY doc_id HAVING count(*) > 1)
         UNION ALL SELECT 'both_sides_lexical', count(*) FROM failures WHERE kind = 'false_top1' AND (coalesce(trim(query_rendering), '') = '' OR coalesce(trim(predicted_rendering), '') = '')
         UNION ALL SELECT contract, count(*) FROM g WHERE contract IS NOT NULL GROUP BY contract""",
-    "evidence_lineage": "WITH RECURSIVE f(field, declared) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _FIELDS) + "), e(field, dep) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _EDGES) + "), "
-                        "r AS (SELECT field, field AS dep FROM f UNION SELECT r.field, e.dep FROM r JOIN e ON e.field = r.dep), o AS (SELECT [" + ", ".join(f"'{x}'" for x in audit.EVIDENCE) + "] AS names) "
-                        "SELECT f.field, f.declared, names[max(list_position(names, g.declared))] AS effective FROM f JOIN r ON r.field = f.field JOIN f g ON g.field = r.dep, o GROUP BY f.field, f.declared, names",
     "cosine_topk": f"WITH {_COS} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM k WHERE rank <= 10",
     "cosine_label_best": f"WITH {_COS} SELECT query_id, label, round(max(s), 6) AS score, CAST(min(rank) AS INTEGER) AS rank FROM k JOIN embeddings USING (vec_id) WHERE rank <= 10 GROUP BY ALL",
 }

@@ -178,8 +178,8 @@ SQL = {
         CASE WHEN regexp_matches(s, '\\bSeite\\s*A\\b') THEN 'side_A' WHEN regexp_matches(s, '\\bSeite\\s*B\\b') THEN 'side_B' WHEN regexp_matches(s, '\\bVs\\.?') OR regexp_matches(s, '\\bobv\\.?', 'i') THEN 'obverse'
              WHEN regexp_matches(s, '\\bRs\\.?') OR regexp_matches(s, '\\brev\\.?', 'i') THEN 'reverse' END AS side,
         CASE WHEN regexp_matches(s, '\\b(lk|li|l)\\.\\s*(Kol|col)\\.?', 'i') THEN 'left' WHEN regexp_matches(s, '\\b(r|re)\\.\\s*(Kol|col)\\.?', 'i') THEN 'right'
-             WHEN regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{N}}_])(I{{1,3}}|IV|VI?)(?:$|[^\\p{{L}}\\p{{N}}_])', 1) <> '' THEN regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{N}}_])(I{{1,3}}|IV|VI?)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)
-             WHEN regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{N}}_])(i{{1,3}}|iv|vi?)(?:$|[^\\p{{L}}\\p{{N}}_])', 1) <> '' THEN upper(regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{N}}_])(i{{1,3}}|iv|vi?)(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) END AS "column",
+             WHEN regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(I{{1,3}}|IV|VI?)(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1) <> '' THEN regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(I{{1,3}}|IV|VI?)(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1)
+             WHEN regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(i{{1,3}}|iv|vi?)(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1) <> '' THEN upper(regexp_extract(s, '(?:^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])(i{{1,3}}|iv|vi?)(?:$|[^\\p{{L}}\\p{{M}}\\p{{N}}_])', 1)) END AS "column",
         contains(s, '?') OR contains(s, '!') AS uncertain FROM t) SELECT side, "column", edge, uncertain, count(*) AS lines FROM p GROUP BY ALL""",
     "bin_titles": f"""WITH sd AS (SELECT DISTINCT cth FROM splits WHERE is_bin AND cth IS NOT NULL), t AS (SELECT string_split(text, chr(10))[1] AS t, cth IS NOT NULL AND cth IN (SELECT cth FROM sd) AS seed FROM documents WHERE text IS NOT NULL),
         k AS (SELECT regexp_matches(t, '{_BINRE}', 'i') AS h, len(list_filter(string_split_regex(t, '\\s+'), lambda z: z <> '')) AS n, seed FROM t)
