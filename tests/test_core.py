@@ -179,7 +179,7 @@ def test_cuts_and_erosion_are_deterministic(spark):
     a, b = synth.vertical_cuts(docs, 5).collect(), synth.vertical_cuts(docs, 5).collect()
     assert sorted(map(tuple, [(r.doc_id, r.gap) for r in a])) == sorted(map(tuple, [(r.doc_id, r.gap) for r in b])) and len(a) == 20
     assert all(len(r.upper) + r.gap + len(r.lower) == 12 and r.upper and r.lower for r in a)
-    worn = docs.select(synth.erode(F.col("lines"), F.col("doc_id"), 1, 1.0).alias("w")).first().w
+    worn = docs.select(synth.erode(F.col("lines"), 1.0, 1, F.col("doc_id")).alias("w")).first().w
     assert set(worn) == {"x"}
 
 
