@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("rejects", "witness", "retrieval", "structure", "audit", "extras", "rendering", "quality", "samples", "suite")
+MODULES = ("rejects", "witness", "retrieval", "structure", "audit", "extras", "rendering", "quality", "samples", "suite", "inventory")
 FLAGSHIP = "witness_census_a2m1"
 
 
