@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.strings import trimmed
+from ..storage import Scratch
 
 LABELS = ("train", "dev", "test", "discovery")
 
@@ -24,24 +29,24 @@ def size_band(n: Column) -> Column:
 def greedy_split(weights: DataFrame, unit: str, weight: str, targets: dict[str, float]) -> DataFrame:
     """(``unit``, ``weight``, split): units, heaviest first, each to the split furthest behind its target.
 
-    Equal weights go in the order of a hash of the unit. The rule is sequential over the units,
-    a vocabulary of names and not of rows, which are gathered in one sorted array.
+    Equal weights go in the order of a hash of the unit. The rule is sequential, so one task reads the
+    sorted units as a stream and keeps one number a split; units are names, not rows.
     """
-    names = list(targets)
-    entry = F.struct((-F.col(weight)).alias("w"), F.md5(F.col(unit).cast("string")).alias("h"), F.col(unit).alias("u"))
-    listed = weights.agg(F.array_sort(F.collect_list(entry)).alias("xs"))
-    start = F.struct(F.array(*[F.lit(0.0)] * len(names)).alias("t"), F.array().cast("array<int>").alias("out"))
-    share = F.array(*[F.lit(targets[n]) for n in names])
+    names, share = list(targets), list(targets.values())
 
-    def step(acc: Column, x: Column) -> Column:
-        behind = F.zip_with(acc["t"], share, lambda t, s: t / s)
-        at = F.array_position(behind, F.array_min(behind)).cast("int") - 1
-        return F.struct(F.transform(acc["t"], lambda t, i: t + F.when(i == at, -x["w"]).otherwise(0)).alias("t"), F.concat(acc["out"], F.array(at)).alias("out"))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [0.0] * len(names)
+        for batch in batches:
+            out = []
+            for w in batch.column(1).to_pylist():
+                at = min(range(len(names)), key=lambda i: (held[i] / share[i], i))
+                held[at] += w
+                out.append(names[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], [unit, weight, "split"])
 
-    placed = listed.select("xs", F.aggregate("xs", start, step, lambda a: a["out"]).alias("at"))
-    flat = placed.select(F.explode(F.arrays_zip("xs", "at")).alias("z"))
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("z.at") + 1)
-    return flat.select(F.col("z.xs.u").alias(unit), (-F.col("z.xs.w")).alias(weight), label.alias("split"))
+    kinds = weights.select(unit, weight).schema
+    ordered = weights.select(unit, weight).repartition(1).sortWithinPartitions(F.desc(weight), F.md5(F.col(unit).cast("string")), unit)
+    return ordered.mapInArrow(place, f"{unit} {kinds[unit].dataType.simpleString()}, {weight} {kinds[weight].dataType.simpleString()}, split string")
 
 
 def auc(rows: DataFrame, score: str, label: str, *by: str) -> DataFrame:
@@ -81,56 +86,67 @@ def reconcile(left: DataFrame, right: DataFrame, passes: list[tuple[str, object]
     return reduce(DataFrame.unionByName, out)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a batch of (id, array); zero vectors are left out."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    lists = batch.column(1)
+    m = _unit(np.asarray(lists.flatten(), np.float64).reshape(len(ids), -1)) if len(ids) else np.zeros((0, 1))
+    keep = m.any(axis=1)
+    return ids[keep], m[keep]
+
+
 def dense_topk(vectors: DataFrame, k: int, shard: int = 2048) -> DataFrame:
     """(query_id, vec_id, score, rank): nearest vectors by cosine of every vector whose id is divisible by 100.
 
-    The stated query set meets all rows in blocks: each shard of queries is broadcast (at most
-    ``shard`` vectors), every partition multiplies its batches with the shard and passes on only
-    its own k best per query, and the partial lists are merged. Zero and null vectors take no
-    part; a vector is no neighbour of itself; ties go to the smaller id.
+    The stated query set meets all rows in blocks: queries are packed into shards of at most ``shard``
+    vectors where they are read, each shard is broadcast by itself (the driver holds one at a time),
+    and one pass over the rows multiplies each batch with all shards in turn, passing on only its own k best
+    per query; the partial lists are merged. Zero and null vectors take no part; a vector is no
+    neighbour of itself; ties go to the smaller id.
     """
-    import numpy as np
-    import pyarrow as pa
-
     spark = vectors.sparkSession
-    rows = vectors.where("embedding is not null").select("vec_id", "embedding")
-    shards, now = [], []
-    for r in rows.where("vec_id % 100 = 0").toLocalIterator():
-        now.append((r.vec_id, r.embedding))
-        if len(now) == shard:
-            shards.append(now)
-            now = []
-    shards.append(now)
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def finder(held):
-        def run(batches):
-            ids, mat = held.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = np.array(batch.column(0).to_pylist(), np.int64)
-                m = unit(np.array(batch.column(1).to_pylist(), np.float64))
+    rows = vectors.where("embedding is not null and size(embedding) > 0").select("vec_id", "embedding")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, mat = [], []
+        for batch in batches:
+            for s in range(0, batch.num_rows, shard):
+                i, m = _vectors(batch.slice(s, shard))
+                if ids and sum(map(len, ids)) + len(i) > shard:
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((np.concatenate(ids), np.concatenate(mat)))], pa.binary())], ["shard"])
+                    ids, mat = [], []
+                if len(i):
+                    ids.append(i)
+                    mat.append(m)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((np.concatenate(ids), np.concatenate(mat)))], pa.binary())], ["shard"])
+
+    packed = Scratch(spark, "dense").cut(rows.where("vec_id % 100 = 0").mapInArrow(pack, "shard binary"), "shards", maxRecordsPerFile=1)
+    held = [spark.sparkContext.broadcast(bytes(r.shard)) for r in packed.toLocalIterator()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, object] = (-1, None)
+        for batch in batches:
+            own, m = _vectors(batch)
+            for n in range(len(held) if len(own) else 0):
+                if last[0] != n:
+                    last = (n, pickle.loads(held[n].value))
+                    if len(held) > 1:
+                        vars(held[n]).pop("_value", None)  # the worker has it on disk
+                ids, mat = last[1]
                 s = mat @ m.T
                 s[ids[:, None] == own[None, :]] = -np.inf
-                s[:, ~m.any(axis=1)] = -np.inf
                 order = np.lexsort((np.broadcast_to(own, s.shape), -np.round(s, 9)), axis=1)[:, :k]
                 q = np.repeat(ids, order.shape[1])
                 score = np.take_along_axis(s, order, 1).ravel()
                 good = np.isfinite(score)
                 yield pa.RecordBatch.from_arrays([pa.array(q[good]), pa.array(own[order.ravel()][good]), pa.array(score[good])], ["query_id", "vec_id", "score"])
 
-        return run
-
-    parts = []
-    for s in shards:
-        ids = np.array([i for i, _ in s], np.int64)
-        mat = unit(np.array([v for _, v in s], np.float64)) if s else np.zeros((0, 1))
-        keep = mat.any(axis=1) if s else np.zeros(0, bool)
-        parts.append(rows.mapInArrow(finder(spark.sparkContext.broadcast((ids[keep], mat[keep]))), "query_id long, vec_id long, score double"))
-    every = reduce(DataFrame.unionByName, parts)
+    every = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,24 +81,22 @@ def greedy_folds(weights: DataFrame, unit: str, weight: str, folds: int) -> Data
     """(``unit``, ``weight``, fold): units, heaviest first, each to the fold of least weight, then fewest units, then number.
 
     A sequential rule over the units (sources, compositions), of which there are as many as the
-    collection has names for, not as it has rows; they are gathered in one sorted array.
+    collection has names for, not as it has rows: one task reads them sorted as a stream.
     """
-    entry = F.struct((-F.col(weight)).alias("w"), F.col(unit).alias("u"))
-    listed = weights.agg(F.array_sort(F.collect_list(entry)).alias("xs"))
-    zero = F.struct(
-        F.array(*[F.struct(F.lit(0).cast("long").alias("load"), F.lit(0).alias("units"), F.lit(i).alias("fold")) for i in range(folds)]).alias("f"),
-        F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        best = F.array_min(acc["f"])
-        moved = F.transform(acc["f"], lambda y: F.when(
-            y["fold"] == best["fold"],
-            F.struct((y["load"] - x["w"]).alias("load"), (y["units"] + 1).alias("units"), y["fold"].alias("fold"))).otherwise(y))
-        return F.struct(moved.alias("f"), F.concat(acc["out"], F.array(best["fold"])).alias("out"))
-
-    placed = listed.select("xs", F.aggregate("xs", zero, step, lambda acc: acc["out"]).alias("fs"))
-    flat = placed.select(F.explode(F.arrays_zip("xs", "fs")).alias("z"))
-    return flat.select(F.col("z.xs.u").alias(unit), (-F.col("z.xs.w")).alias(weight), F.col("z.fs").alias("fold"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(0, 0, i) for i in range(folds)]
+        for batch in batches:
+            out = []
+            for w in batch.column(1).to_pylist():
+                load, units, fold = min(held)
+                held[fold] = (load + w, units + 1, fold)
+                out.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], [unit, weight, "fold"])
+
+    kinds = weights.select(unit, weight).schema
+    ordered = weights.select(unit, weight).repartition(1).sortWithinPartitions(F.desc(weight), unit)
+    return ordered.mapInArrow(place, f"{unit} {kinds[unit].dataType.simpleString()}, {weight} {kinds[weight].dataType.simpleString()}, fold int")
 
 
 def cross_calibrate(profiles: DataFrame, rule_table: DataFrame) -> DataFrame:
