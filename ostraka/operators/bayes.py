@@ -18,6 +18,8 @@ def predicted(docs: DataFrame, key: str, label: str, smoothing: float = 1.0) ->
     ``docs`` has the key, label, fold and tokens. Counts of a model are the totals less those of its own fold. Tokens that the other
     folds do not hold weigh alike for all labels but for their totals, as smoothing has it; labels unseen in the other folds are no guess.
     """
+    names, (key, label) = (key, label), ("_key", "_label")  # no column of the caller's meets one made here
+    docs = docs.select(F.col(names[0]).alias(key), "fold", F.col(names[1]).alias(label), "tokens")
     tf = docs.select(key, "fold", label, F.explode("tokens").alias("token")).groupBy(key, "fold", label, "token").agg(F.count(F.lit(1)).alias("tf"))
     per = tf.groupBy("fold", label, "token").agg(F.sum("tf").alias("c"))
     whole = per.groupBy(label, "token").agg(F.sum("c").alias("all"))
@@ -45,4 +47,4 @@ def predicted(docs: DataFrame, key: str, label: str, smoothing: float = 1.0) ->
     scored = asked.join(frame, "fold").join(gain, [key, "fold", "guess"], "left")
     score = F.col("prior") + zero("gain") + zero("len") * (F.log(F.lit(smoothing)) - F.col("norm"))
     best = scored.groupBy(key, "fold", label).agg(F.min(F.struct((-F.round(score, 6)).alias("s"), "guess")).alias("b"))
-    return best.select(key, "fold", label, F.col("b.guess").alias("guess"))
+    return best.select(F.col(key).alias(names[0]), "fold", F.col(label).alias(names[1]), F.col("b.guess").alias("guess"))

@@ -85,10 +85,6 @@ def relation_basis(join_type: Column, adjacent: Column) -> Column:
             .when(~adjacent & (join_type == "inferred"), "inferred").otherwise("unknown"))
 
 
-def join_tier(shared_lines: Column) -> Column:
-    return F.when(shared_lines == 0, "A").when(shared_lines <= 2, "B").otherwise("C")
-
-
 def structural_relation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(..., shared, ordering, deltas, identifiable, consistent) of two arrays of line numbers."""
     common = F.array_intersect(a, b)

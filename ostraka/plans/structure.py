@@ -50,7 +50,7 @@ def sign_states(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def line_labels(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents", "doc_id", "text", "doc_kind").where("doc_kind = 'transliteration' and text is not null")
+    docs = table(spark, sf, "documents", "doc_id", "text").where("text is not null")
     lab = st.line_label(F.col("s"))
     rows = docs.select(F.explode(F.split("text", "\n")).alias("s")).select(*[c.alias(n) for n, c in lab.items()])
     return rows.groupBy("side", "prime").agg(F.count(F.lit(1)).alias("lines"), F.max("number").alias("highest"))
@@ -92,8 +92,8 @@ def relation_bases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def structural_relations(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of two orders of one customer set against each other by line number and part."""
-    lines = table(spark, sf, "lineitem", "l_orderkey", "l_partkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_partkey") % 50)).alias("ps"))
+    """Suppliers of an order set against those of the next."""
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("ps"))
     nxt = lines.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("ps").alias("qs"))
     return st.structural_relation(lines.join(nxt, "l_orderkey"), "ps", "qs").groupBy("ordering", "identifiable", "consistent").agg(F.count(F.lit(1)).alias("pairs"), F.sum("shared").alias("shared"))
 
@@ -134,7 +134,7 @@ SQL = {
                     f"WHEN regexp_full_match({_BARE}, '\\p{{Lu}}[\\p{{Lu}}.]+(-.*)?') THEN 'logogram' WHEN contains({_BARE}, '-') THEN 'syllabic' ELSE 'plain' END AS class FROM wd JOIN documents USING (doc_id)) SELECT lang, class, count(*) AS words FROM c GROUP BY ALL",
     "sign_states": f"WITH {_ST}, sg AS (SELECT state, sign, CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda z: length(z) + 1)), 0) AS BIGINT) AS o FROM (SELECT state, p, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS sign FROM (SELECT state, string_split(word, '-') AS p FROM ws))) "
                    "SELECT CASE WHEN regexp_replace(sign, '[\\[\\]⸢⸣()]', '', 'g') = 'x' THEN 'illegible_x' ELSE state END AS state, count(*) AS signs, CAST(sum(o) AS BIGINT) AS offsets, count(DISTINCT sign) AS kinds FROM sg WHERE sign <> '' GROUP BY 1",
-    "line_labels": f"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS s FROM documents WHERE doc_kind = 'transliteration' AND text IS NOT NULL), "
+    "line_labels": f"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL), "
                    f"p AS (SELECT trim(regexp_extract(s, {_LAB}, 1)) AS h, regexp_extract(s, {_LAB}, 2) AS n, regexp_extract(s, {_LAB}, 3) AS q FROM l) "
                    "SELECT CASE WHEN h = '' THEN NULL " + " ".join(f"WHEN h = '{k}' THEN '{v}'" for k, v in st.SIDES.items()) + " ELSE 'other' END AS side, CASE WHEN n <> '' THEN q <> '' END AS prime, count(*) AS lines, max(CASE WHEN n <> '' THEN CAST(n AS INTEGER) END) AS highest FROM p GROUP BY ALL",
     "parser_oracle": f"WITH {_ST}, o AS (SELECT doc_id, length(text) - length(replace(text, '[', '')) AS opens FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, count(*) FILTER (state = 'restored') AS restored FROM ws GROUP BY doc_id), "
@@ -145,7 +145,7 @@ SQL = {
     "site_prefixes": "WITH c AS (SELECT string_split(doc_id, ' ')[1] AS prefix, site, count(*) AS n FROM splits WHERE site IS NOT NULL GROUP BY ALL) SELECT prefix, arg_min(site, {'m': -n, 's': site}) AS site, max(n) AS n, CAST(sum(n) AS BIGINT) AS rows FROM c GROUP BY prefix",
     "relation_bases": "WITH p AS (SELECT DISTINCT pair_id, join_type, tier, fragment_id_a, fragment_id_b FROM join_pairs), s AS (SELECT *, coalesce(string_split(fragment_id_a, '::')[1] = string_split(fragment_id_b, '::')[1], false) AS adj FROM p) "
                       "SELECT CASE WHEN adj AND join_type = '+' THEN 'direct' WHEN adj AND join_type = '(+)' THEN 'indirect' WHEN NOT adj AND join_type = 'inferred' THEN 'inferred' ELSE 'unknown' END AS basis, tier, count(*) AS pairs FROM s GROUP BY ALL",
-    "structural_relations": "WITH l AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey % 50)) AS a FROM lineitem GROUP BY 1), p AS (SELECT x.a, y.a AS b, list_intersect(x.a, y.a) AS c FROM l x JOIN l y ON y.k = x.k + 1), "
+    "structural_relations": "WITH l AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_suppkey)) AS a FROM lineitem GROUP BY 1), p AS (SELECT x.a, y.a AS b, list_intersect(x.a, y.a) AS c FROM l x JOIN l y ON y.k = x.k + 1), "
                             "d AS (SELECT a, b, c, len(list_distinct(list_transform(c, lambda z: list_position(b, z) - list_position(a, z)))) AS n FROM p) "
                             "SELECT CASE WHEN len(c) > 0 THEN 'overlap' WHEN list_max(a) < list_min(b) THEN 'a_before_b' WHEN list_max(b) < list_min(a) THEN 'b_before_a' ELSE 'interleaved_without_shared_rows' END AS ordering, len(c) > 0 AND n = 1 AS identifiable, n <= 1 AS consistent, count(*) AS pairs, CAST(sum(len(c)) AS BIGINT) AS shared FROM d GROUP BY ALL",
 }

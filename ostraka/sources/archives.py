@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Members an archive holds besides documents.
 JUNK = ("__MACOSX", "._")
+#: The same as a pattern of a member's path.
+JUNK_PATH = r"(?:^|/)(?:__MACOSX|\._)"
 
 
 def is_document(name: str) -> bool:
@@ -62,7 +64,7 @@ def xml_events(members: DataFrame) -> DataFrame:
 
 
 def archive_index(members: DataFrame) -> DataFrame:
-    """(stem, entries, groups): members by stem with their composition folders, payloads unread."""
+    """(stem, entries, groups): members by stem with their composition folders. ``files.archive_directory`` lists members without unzipping them."""
     stem, group = F.regexp_extract("member", r"([^/]+)\.xml$", 1), F.regexp_extract("member", r"CTH (\d+)_XML/", 1)
     return members.select(stem.alias("stem"), group.alias("g")).groupBy("stem").agg(F.count(F.lit(1)).alias("entries"), F.array_sort(F.collect_set("g")).alias("groups"))
 
