@@ -69,20 +69,34 @@ def version_diff(left: DataFrame, right: DataFrame, key: str, value: str) -> Dat
     return a.join(b, key, "full").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("keys"))
 
 
-def reconcile(left: DataFrame, right: DataFrame, passes: list[tuple[str, object]]) -> DataFrame:
+def reconcile(left: DataFrame, right: DataFrame, passes: list[tuple]) -> DataFrame:
     """(name, l, r): identifiers of ``left`` (l) and ``right`` (r) matched in ordered passes.
 
-    Each pass compares a normal form of what earlier passes left over, and takes only matches
-    that are one-to-one on both sides.
+    A pass is (name, form) or (name, form, mode) and compares a normal form of what earlier passes left over.
+    Mode ``one`` takes forms that stand once on both sides. ``near`` compares identifiers of equal form and takes those
+    an edit apart at most, if neither has another such partner. ``many`` takes any number of left ones for a
+    form that stands once on the right, and leaves the right one for others.
     """
-    out, lo, ro = [], left.select("l").distinct(), right.select("r").distinct()
-    for name, form in passes:
+    scratch = Scratch(left.sparkSession, "reconcile")
+    out, lo, ro = [], scratch.cut(left.select("l").distinct(), "left"), scratch.cut(right.select("r").distinct(), "right")
+
+    def once(df: DataFrame, c: str) -> DataFrame:
+        return df.groupBy("k").agg(F.min(c).alias(c), F.count(F.lit(1)).alias("n")).where("n = 1 and k is not null").drop("n")
+
+    for name, form, *mode in passes:
         a, b = lo.withColumn("k", form(F.col("l"))), ro.withColumn("k", form(F.col("r")))
-        once_a = a.groupBy("k").agg(F.min("l").alias("l"), F.count(F.lit(1)).alias("n")).where("n = 1 and k is not null").drop("n")
-        once_b = b.groupBy("k").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n")).where("n = 1 and k is not null").drop("n")
-        met = once_a.join(once_b, "k").select(F.lit(name).alias("name"), "l", "r")
+        if mode == ["near"]:
+            close = a.join(b, "k").where(F.levenshtein("l", "r") <= 1).select("l", "r")
+            ones = [close.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(c) for c in ("l", "r")]
+            met = close.join(ones[0], "l").join(ones[1], "r")
+        else:
+            met = (a.where("k is not null") if mode == ["many"] else once(a, "l")).join(once(b, "r"), "k")
+        # each pass reads what the last one left over: written, or every pass would plan all before it again
+        met = scratch.cut(met.select(F.lit(name).alias("name"), "l", "r"), f"met_{name}")
         out.append(met)
-        lo, ro = lo.join(met.select("l"), "l", "left_anti"), ro.join(met.select("r"), "r", "left_anti")
+        lo = scratch.cut(lo.join(met.select("l"), "l", "left_anti"), f"left_{name}")
+        if mode != ["many"]:
+            ro = scratch.cut(ro.join(met.select("r"), "r", "left_anti"), f"right_{name}")
     return reduce(DataFrame.unionByName, out)
 
 
@@ -150,3 +164,46 @@ def dense_topk(vectors: DataFrame, k: int, shard: int = 2048) -> DataFrame:
     every = rows.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def line_max(vectors: DataFrame, lines: int, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents by the best cosine between any of their lines and any of the query's.
+
+    A vector is a line, ``lines`` consecutive ids are a document; queries are the documents whose number is divisible by
+    100. Lines of the queries are packed and broadcast in shards as in ``dense_topk``; each batch passes on one
+    number per query and document it holds lines of.
+    """
+    spark = vectors.sparkSession
+    doc = F.floor(F.col("vec_id") / lines).cast("long")
+    rows = vectors.where("embedding is not null and size(embedding) > 0").select(doc.alias("doc"), "embedding")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, batch.num_rows, 2048):
+                ids, m = _vectors(batch.slice(s, 2048))
+                if len(ids):
+                    order = np.argsort(ids, kind="stable")
+                    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids[order], m[order]))], pa.binary())], ["shard"])
+
+    packed = Scratch(spark, "lines").cut(rows.where("doc % 100 = 0").mapInArrow(pack, "shard binary"), "shards", maxRecordsPerFile=1)
+    held = [spark.sparkContext.broadcast(bytes(r.shard)) for r in packed.toLocalIterator()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, m = _vectors(batch)
+            order = np.argsort(own, kind="stable")
+            own, m = own[order], m[order]
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            for b in held if len(own) else []:
+                ids, mat = pickle.loads(b.value)
+                if len(held) > 1:
+                    vars(b).pop("_value", None)
+                at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                best = np.maximum.reduceat(np.maximum.reduceat(mat @ m.T, at, axis=0), starts, axis=1)
+                q, d = np.repeat(ids[at], len(starts)), np.tile(own[starts], len(at))
+                keep = q != d
+                yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(d[keep]), pa.array(best.ravel()[keep])], ["query_id", "doc_id", "score"])
+
+    every = rows.mapInArrow(run, "query_id long, doc_id long, score double").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -31,14 +31,15 @@ def _last_mark(word: Column, opens: str, closes: str) -> Column:
 
 
 def milestone_states(word_rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(..., state): attested, laes, restored or illegible_x per word.
+    """(..., state, open_r, open_d): attested, laes, restored or illegible_x per word, and whether a stretch is open where the word begins.
 
     A word is restored (damaged) if it begins inside an open stretch or opens one itself.
     """
     before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     marked = word_rows.withColumn("dm", _last_mark(F.col("word"), "[", "]")).withColumn("lm", _last_mark(F.col("word"), "⸢", "⸣"))
-    restored = (F.coalesce(F.last("dm", ignorenulls=True).over(before), F.lit(0)) == 1) | F.contains("word", F.lit("["))
-    damaged = (F.coalesce(F.last("lm", ignorenulls=True).over(before), F.lit(0)) == 1) | F.contains("word", F.lit("⸢"))
+    marked = marked.withColumn("open_r", F.coalesce(F.last("dm", ignorenulls=True).over(before), F.lit(0)) == 1).withColumn("open_d", F.coalesce(F.last("lm", ignorenulls=True).over(before), F.lit(0)) == 1)
+    restored = F.col("open_r") | F.contains("word", F.lit("["))
+    damaged = F.col("open_d") | F.contains("word", F.lit("⸢"))
     bare = F.translate("word", "[]⸢⸣()", "")
     state = F.when(bare == "x", "illegible_x").when(restored, "restored").when(damaged, "laes").otherwise("attested")
     return marked.withColumn("state", state).drop("dm", "lm")
@@ -54,11 +55,23 @@ def word_class(word: Column) -> Column:
 
 
 def signs(word_rows: DataFrame, *keep: str) -> DataFrame:
-    """(``keep``..., sign, offset): signs of each word at their start offset in it; empty pieces are dropped."""
+    """(``keep``..., sign, offset, state): signs of each word at their start offset in it, in the state that holds there; empty pieces are dropped.
+
+    ``word_rows`` come from ``milestone_states``. Marks of the word before a sign change the state it begins in, a
+    mark the sign itself begins with counts too, and a bare ``x`` is illegible whatever stands around it.
+    """
     pieces = F.split("word", "-")
-    lens = F.transform(pieces, lambda p: F.length(p) + 1)
-    at = F.transform(pieces, lambda p, i: F.struct(p.alias("sign"), F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda a, x: a + x).alias("offset")))
-    return word_rows.select(*keep, F.explode(at).alias("s")).select(*keep, "s.sign", "s.offset").where("sign <> ''")
+    at = F.transform(pieces, lambda p, i: F.struct(p.alias("sign"), F.array_join(F.slice(pieces, F.lit(1), i), "-").alias("before"), i.alias("i")))
+    each = word_rows.select(*keep, "open_r", "open_d", F.explode(at).alias("s")).select(*keep, "open_r", "open_d", "s.*").where("sign <> ''")
+
+    def inside(opens: str, closes: str, carried: str, begins: str) -> Column:
+        last = _last_mark(F.col("before"), opens, closes)
+        return F.when(last.isNull(), F.col(carried)).otherwise(last == 1) | F.col("sign").rlike(begins)
+
+    bare = F.translate("sign", "[]⸢⸣()", "")
+    state = (F.when(bare == "x", "illegible_x").when(inside("[", "]", "open_r", r"\A[⸢(]*\["), "restored").when(inside("⸢", "⸣", "open_d", r"\A[\[(]*⸢"), "laes").otherwise("attested"))
+    offset = F.length("before") + F.when(F.col("i") > 0, 1).otherwise(0)
+    return each.select(*keep, "sign", offset.alias("offset"), state.alias("state"))
 
 
 def line_label(line: Column) -> dict[str, Column]:

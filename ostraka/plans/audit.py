@@ -66,7 +66,10 @@ def error_log_versions(spark: SparkSession, sf: str) -> DataFrame:
 def identifier_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
     left = table(spark, sf, "parse_errors", "file").where("file is not null").select(F.regexp_extract("file", r"([^/]+)\.xml$", 1).alias("l"))
     right = table(spark, sf, "splits", "doc_id").where("doc_id is not null").select(F.col("doc_id").alias("r"))
-    passes = [("exact", lambda c: c), ("plus_toggle", lambda c: F.regexp_replace(c, r"\+$", "")), ("format", lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", "")))]
+    passes = [
+        ("exact", lambda c: c), ("plus_toggle", lambda c: F.regexp_replace(c, r"\+$", "")), ("format", lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", ""))),
+        ("one_edit", lambda c: F.concat_ws(" ", F.lower(F.substring(c, 1, 2)), F.regexp_extract(c, "([0-9]+)$", 1)), "near"),
+        ("annotation", lambda c: F.lower(F.regexp_extract(c, r"^([A-Za-z]+ ?[0-9.]*[0-9])", 1)), "many")]
     return audit.reconcile(left, right, passes).groupBy("name").agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.levenshtein("l", "r") == 0).alias("unchanged"))
 
 
@@ -163,19 +166,34 @@ def cosine_label_best(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("query_id", "label").agg(F.round(F.max("score"), 6).alias("score"), F.min("rank").alias("rank"))
 
 
+def line_max_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten vectors in a row as the lines of a document."""
+    found = audit.line_max(table(spark, sf, "embeddings", "vec_id", "embedding"), 10, 5)
+    return found.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 _L = "lab AS (SELECT doc_id, cth, site, is_bin, nullif(lower(trim(main_split)), '') AS label FROM splits)"
 _F = """rw AS (SELECT query_id AS id, query_rendering AS r FROM failures UNION ALL SELECT predicted, predicted_rendering FROM failures),
 fr AS (SELECT id, max(array_to_string(list_filter(string_split_regex(r, '[ \t\r\n]+'), lambda z: z <> ''), ' ')) AS text FROM rw WHERE id IS NOT NULL AND r IS NOT NULL GROUP BY id),
 fg AS (SELECT id, string_split(id, '::')[1] AS parent, string_split(text, ' ') AS t FROM fr WHERE text <> '')"""
 _STEM = "regexp_extract(file, '([^/]+)\\.xml$', 1)"
-_FORMS = {"exact": "x", "plus_toggle": "regexp_replace(x, '\\+$', '')", "format": "lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))"}
+_FORMS = {
+    "exact": ("x", "one"), "plus_toggle": ("regexp_replace(x, '\\+$', '')", "one"), "format": ("lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))", "one"),
+    "one_edit": ("lower(x[1:2]) || ' ' || regexp_extract(x, '([0-9]+)$', 1)", "near"), "annotation": ("lower(regexp_extract(x, '^([A-Za-z]+ ?[0-9.]*[0-9])', 1))", "many")}
 
 
 def _sql_reconcile() -> str:
     ctes = [f"l0 AS (SELECT DISTINCT {_STEM} AS x FROM parse_errors WHERE file IS NOT NULL)", "r0 AS (SELECT DISTINCT doc_id AS x FROM splits WHERE doc_id IS NOT NULL)"]
-    for i, (name, form) in enumerate(_FORMS.items()):
-        ctes.append(f"m{i} AS (SELECT '{name}' AS name, a.x AS l, b.x AS r FROM (SELECT {form} AS k, min(x) AS x FROM l{i} GROUP BY k HAVING count(*) = 1) a JOIN (SELECT {form} AS k, min(x) AS x FROM r{i} GROUP BY k HAVING count(*) = 1) b USING (k))")
-        ctes += [f"l{i + 1} AS (SELECT x FROM l{i} WHERE x NOT IN (SELECT l FROM m{i}))", f"r{i + 1} AS (SELECT x FROM r{i} WHERE x NOT IN (SELECT r FROM m{i}))"]
+    for i, (name, (form, mode)) in enumerate(_FORMS.items()):
+        right = f"(SELECT {form} AS k, min(x) AS x FROM r{i} GROUP BY k HAVING count(*) = 1)"
+        if mode == "near":
+            ctes.append(f"c{i} AS (SELECT a.x AS l, b.x AS r FROM (SELECT x, {form} AS k FROM l{i}) a JOIN (SELECT x, {form} AS k FROM r{i}) b USING (k) WHERE levenshtein(a.x, b.x) <= 1)")
+            ctes.append(f"m{i} AS (SELECT '{name}' AS name, l, r FROM c{i} WHERE l IN (SELECT l FROM c{i} GROUP BY l HAVING count(*) = 1) AND r IN (SELECT r FROM c{i} GROUP BY r HAVING count(*) = 1))")
+        elif mode == "many":
+            ctes.append(f"m{i} AS (SELECT '{name}' AS name, a.x AS l, b.x AS r FROM (SELECT {form} AS k, x FROM l{i}) a JOIN {right} b USING (k))")
+        else:
+            ctes.append(f"m{i} AS (SELECT '{name}' AS name, a.x AS l, b.x AS r FROM (SELECT {form} AS k, min(x) AS x FROM l{i} GROUP BY k HAVING count(*) = 1) a JOIN {right} b USING (k))")
+        ctes += [f"l{i + 1} AS (SELECT x FROM l{i} WHERE x NOT IN (SELECT l FROM m{i}))", f"r{i + 1} AS (SELECT x FROM r{i}" + ("" if mode == "many" else f" WHERE x NOT IN (SELECT r FROM m{i})") + ")"]
     return "WITH " + ", ".join(ctes) + " SELECT name, count(*) AS matches, count(*) FILTER (l = r) AS unchanged FROM (" + " UNION ALL ".join(f"SELECT * FROM m{i}" for i in range(len(_FORMS))) + ") GROUP BY name"
 
 
@@ -186,7 +204,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DE
 
 QUERIES = {f.__name__: f for f in (
     greedy_split, leakage_check, split_crosstab, sign_totals, duplicate_topology, access_gates, error_log_versions, identifier_reconciliation, series_counts, pair_budget,
-    exact_text_classes, length_percentiles, field_coverage, auc_by_status, vocabulary, oov_rate, quality_contracts, cosine_topk, cosine_label_best)}
+    exact_text_classes, length_percentiles, field_coverage, auc_by_status, vocabulary, oov_rate, quality_contracts, cosine_topk, cosine_label_best, line_max_topk)}
 
 SQL = {
     "greedy_split": f"""WITH RECURSIVE {_L}, w AS (SELECT cth, docs, row_number() OVER (ORDER BY docs DESC, md5(CAST(cth AS VARCHAR))) AS k FROM (SELECT cth, count(DISTINCT doc_id) AS docs FROM lab WHERE cth IS NOT NULL GROUP BY cth HAVING NOT bool_or(coalesce(is_bin, false)) AND count(DISTINCT doc_id) > 0)),
@@ -219,5 +237,8 @@ SQL = {
         UNION ALL SELECT 'both_sides_lexical', count(*) FROM failures WHERE kind = 'false_top1' AND (coalesce(trim(query_rendering), '') = '' OR coalesce(trim(predicted_rendering), '') = '')
         UNION ALL SELECT contract, count(*) FROM g WHERE contract IS NOT NULL GROUP BY contract""",
     "cosine_topk": f"WITH {_COS} SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM k WHERE rank <= 10",
+    "line_max_topk": """WITH q AS (SELECT vec_id // 10 AS d, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+        s AS (SELECT a.d AS query_id, b.d AS doc_id, max(list_cosine_similarity(a.e, b.e)) AS s FROM q a JOIN q b ON a.d <> b.d WHERE a.d % 100 = 0 GROUP BY ALL),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM k WHERE rank <= 5""",
     "cosine_label_best": f"WITH {_COS} SELECT query_id, label, round(max(s), 6) AS score, CAST(min(rank) AS INTEGER) AS rank FROM k JOIN embeddings USING (vec_id) WHERE rank <= 10 GROUP BY ALL",
 }

@@ -31,6 +31,44 @@ def tag_inventory(spark: SparkSession, sf: str) -> DataFrame:
     return shown.groupBy("tag", "then", "instances", "documents").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda d: d.cast("string")), ",").alias("examples"))
 
 
+def attribute_census(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributes of events by the type that carries them: instances, and users that have them."""
+    rows = table(spark, sf, "events", "user_id", "event_type", "props").select("user_id", "event_type", F.explode(F.regexp_extract_all("props", F.lit('"([A-Za-z_]+)":'), 1)).alias("a"))
+    return rows.groupBy(F.concat_ws("@", "event_type", "a").alias("attribute")).agg(F.count(F.lit(1)).alias("instances"), F.countDistinct("user_id").alias("users"))
+
+
+def extension_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of the error log by extension, and their composition folders."""
+    files = table(spark, sf, "parse_errors", "file").where("file is not null")
+    return files.groupBy(F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1)).alias("extension")).agg(F.count(F.lit(1)).alias("files"), F.countDistinct(F.regexp_extract("file", r"CTH (\d+)_XML/", 1)).alias("compositions"))
+
+
+def line_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty lines to look at, drawn by a hash of document and line."""
+    docs = spread(table(spark, sf, "documents", "doc_id", "text").where("text is not null"))
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).where("trim(s) <> ''")
+    drawn = rows.select("doc_id", "line", F.length("s").alias("characters"), F.md5(F.concat_ws(":", F.lit("42"), F.col("doc_id").cast("string"), F.col("line").cast("string"))).alias("h"))
+    return drawn.orderBy("h").limit(40).select("doc_id", "line", "characters")
+
+
+def pair_combiner(spark: SparkSession, sf: str) -> DataFrame:
+    """A logistic combiner of three scores of logged pairs, fitted to tell true positives from false first places: its weights (no SQL states it)."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    log = table(spark, sf, "failures", "failure_id", "kind", "rank", "query_rendering", "predicted_rendering").where("query_rendering is not null").dropDuplicates(["failure_id"])
+
+    def toks(c):
+        return F.coalesce(F.filter(F.split(c, "[ \t\r\n]+"), lambda t: t != ""), F.array().cast("array<string>"))
+
+    rows = log.select((F.col("kind") == "worst_true_positive").cast("double").alias("label"), toks("query_rendering").alias("a"), toks("predicted_rendering").alias("b"))
+    known = rows.select(
+        "label", F.size("a").cast("double").alias("length"), F.size(F.array_distinct("a")).cast("double").alias("distinct"), (F.size(F.filter("a", lambda t: t == "x")) / F.greatest(F.size("a"), F.lit(1))).alias("worn"))
+    names = ["length", "distinct", "worn"]
+    model = LogisticRegression(maxIter=50, regParam=0.01).fit(VectorAssembler(inputCols=names, outputCol="features").transform(known).select("label", "features"))
+    return spark.createDataFrame([(n, round(float(c), 4)) for n, c in zip([*names, "intercept"], [*model.coefficients, model.intercept])], "feature string, weight double")
+
+
 def running_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Line, word and paragraph counters of every word, begun at -1, -1 and 0, summed per document; a line without words ends a paragraph."""
     docs = spread(table(spark, sf, "documents", "doc_id", "text").where("text is not null"))
@@ -161,7 +199,7 @@ def nb_language(spark: SparkSession, sf: str) -> DataFrame:
 
 _Q = "list_filter(string_split_regex({c}, '[ \t\r\n]+'), lambda z: z <> '')"
 QUERIES = {f.__name__: f for f in (
-    tag_inventory, running_counters, site_by_prefix, member_chains, duplicate_signatures, task_a_coverage, seam_scores, packet_outcomes, evidence_packets, disagreement_flags, nb_language)}
+    tag_inventory, attribute_census, extension_counts, line_sample, pair_combiner, running_counters, site_by_prefix, member_chains, duplicate_signatures, task_a_coverage, seam_scores, packet_outcomes, evidence_packets, disagreement_flags, nb_language)}
 
 _OUT = "CASE WHEN n_alt = 0 THEN 'abstain_no_anchor_evidence' WHEN NOT unique_top THEN 'abstain_evidence_tie' WHEN NOT (top >= 1 AND margin >= 2 AND n_alt <= 2) THEN 'abstain_calibrated_threshold' WHEN top_exact THEN 'accepted_exact_agreement' ELSE 'accepted_variant' END"
 _JAC = "CASE WHEN len(l) = 0 OR len(r) = 0 THEN 0.0 ELSE len(list_intersect(l, r)) / CAST(len(list_distinct(list_concat(l, r))) AS DOUBLE) END"
@@ -170,6 +208,9 @@ SQL = {
         e AS (SELECT doc_id, ts[i] AS tag, ts[i + 1] AS nx FROM (SELECT doc_id, ts, unnest(range(1, len(ts))) AS i FROM t WHERE len(ts) > 1)),
         g AS (SELECT tag, nx, count(*) AS n, count(DISTINCT doc_id) AS d, list_sort(list(DISTINCT doc_id))[1:3] AS x FROM e GROUP BY ALL)
         SELECT tag, nx AS "then", n AS instances, d AS documents, array_to_string(x, ',') AS examples FROM g ORDER BY n DESC, tag, nx LIMIT 20""",
+    "attribute_census": "WITH a AS (SELECT user_id, event_type || '@' || unnest(regexp_extract_all(props, '\"([A-Za-z_]+)\":', 1)) AS attribute FROM events) SELECT attribute, count(*) AS instances, count(DISTINCT user_id) AS users FROM a GROUP BY attribute",
+    "extension_counts": "SELECT lower(regexp_extract(file, '\\.([^./]+)$', 1)) AS extension, count(*) AS files, count(DISTINCT regexp_extract(file, 'CTH (\\d+)_XML/', 1)) AS compositions FROM parse_errors WHERE file IS NOT NULL GROUP BY 1",
+    "line_sample": "WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(length(s) AS INTEGER) AS characters FROM l WHERE trim(s) <> '' ORDER BY md5('42:' || doc_id || ':' || line) LIMIT 40",
     "running_counters": """WITH l AS (SELECT doc_id, line, len(list_filter(string_split_regex(s, '[ \t\r]+'), lambda z: z <> '')) AS n FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL)),
         c AS (SELECT *, coalesce(sum(n) OVER w, 0) AS b, coalesce(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER w, 0) AS p FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
         SELECT doc_id, CAST(sum(line * n) AS BIGINT) AS line_sum, CAST(sum((2 * b + n - 1) * n // 2) AS BIGINT) AS word_sum, CAST(sum(p * n) AS BIGINT) AS paragraph_sum, CAST(max(b + n - 1) AS BIGINT) AS last_word FROM c WHERE n > 0 GROUP BY doc_id""",

@@ -43,10 +43,8 @@ def word_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sign_states(spark: SparkSession, sf: str) -> DataFrame:
-    rows = st.signs(st.milestone_states(_words(spark, sf)), "doc_id", "state")
-    bare = F.translate("sign", "[]⸢⸣()", "")
-    state = F.when(bare == "x", "illegible_x").otherwise(F.col("state"))
-    return rows.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("signs"), F.sum("offset").cast("long").alias("offsets"), F.countDistinct("sign").alias("kinds"))
+    rows = st.signs(st.milestone_states(_words(spark, sf)), "doc_id")
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("signs"), F.sum("offset").cast("long").alias("offsets"), F.countDistinct("sign").alias("kinds"))
 
 
 def line_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,16 +103,16 @@ wd AS (SELECT doc_id, line, w, word, row_number() OVER (PARTITION BY doc_id ORDE
             SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL))))"""
 
 
-def _mark(o: str, c: str) -> str:
-    a, b = f"strpos(reverse(word), '{o}')", f"strpos(reverse(word), '{c}')"
+def _mark(o: str, c: str, word: str = "word") -> str:
+    a, b = f"strpos(reverse({word}), '{o}')", f"strpos(reverse({word}), '{c}')"
     return f"CASE WHEN {a} = 0 AND {b} = 0 THEN NULL WHEN {b} = 0 THEN 1 WHEN {a} = 0 THEN 0 WHEN {a} < {b} THEN 1 ELSE 0 END"
 
 
 _ST = f"""{_W},
 mk AS (SELECT *, {_mark('[', ']')} AS dm, {_mark('⸢', '⸣')} AS lm FROM wd),
-sr AS (SELECT *, coalesce(last_value(dm IGNORE NULLS) OVER b, 0) = 1 OR contains(word, '[') AS r, coalesce(last_value(lm IGNORE NULLS) OVER b, 0) = 1 OR contains(word, '⸢') AS d
-    FROM mk WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-ws AS (SELECT doc_id, line, pos, word, CASE WHEN regexp_replace(word, '[\\[\\]⸢⸣()]', '', 'g') = 'x' THEN 'illegible_x' WHEN r THEN 'restored' WHEN d THEN 'laes' ELSE 'attested' END AS state FROM sr)"""
+sr AS (SELECT *, coalesce(last_value(dm IGNORE NULLS) OVER b, 0) = 1 AS ro, coalesce(last_value(lm IGNORE NULLS) OVER b, 0) = 1 AS dd,
+    coalesce(last_value(dm IGNORE NULLS) OVER b, 0) = 1 OR contains(word, '[') AS r, coalesce(last_value(lm IGNORE NULLS) OVER b, 0) = 1 OR contains(word, '⸢') AS d FROM mk WINDOW b AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ws AS (SELECT doc_id, line, pos, word, ro, dd, CASE WHEN regexp_replace(word, '[\\[\\]⸢⸣()]', '', 'g') = 'x' THEN 'illegible_x' WHEN r THEN 'restored' WHEN d THEN 'laes' ELSE 'attested' END AS state FROM sr)"""
 _BARE = "regexp_replace(word, '[\\[\\]⸢⸣()]', '', 'g')"
 
 QUERIES = {f.__name__: f for f in (
@@ -132,8 +130,10 @@ SQL = {
                           "SELECT doc_id, count(*) AS lines, CAST(sum(n) AS BIGINT) AS words, count(*) FILTER (n = 0) AS blank_lines, CAST(max(n) AS INTEGER) AS longest_line FROM r GROUP BY doc_id",
     "word_classes": f"WITH {_W}, c AS (SELECT lang, CASE WHEN regexp_full_match({_BARE}, '[0-9]+') OR {_BARE} = '<NUM>' THEN 'number' WHEN regexp_matches({_BARE}, '^\\{{[^{{}}]+\\}}') THEN 'determinative' "
                     f"WHEN regexp_full_match({_BARE}, '\\p{{Lu}}[\\p{{Lu}}.]+(-.*)?') THEN 'logogram' WHEN contains({_BARE}, '-') THEN 'syllabic' ELSE 'plain' END AS class FROM wd JOIN documents USING (doc_id)) SELECT lang, class, count(*) AS words FROM c GROUP BY ALL",
-    "sign_states": f"WITH {_ST}, sg AS (SELECT state, sign, CAST(coalesce(list_sum(list_transform(p[1:i - 1], lambda z: length(z) + 1)), 0) AS BIGINT) AS o FROM (SELECT state, p, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS sign FROM (SELECT state, string_split(word, '-') AS p FROM ws))) "
-                   "SELECT CASE WHEN regexp_replace(sign, '[\\[\\]⸢⸣()]', '', 'g') = 'x' THEN 'illegible_x' ELSE state END AS state, count(*) AS signs, CAST(sum(o) AS BIGINT) AS offsets, count(DISTINCT sign) AS kinds FROM sg WHERE sign <> '' GROUP BY 1",
+    "sign_states": f"""WITH {_ST}, sg AS (SELECT ro, dd, p[i] AS sign, array_to_string(p[1:i - 1], '-') AS b, i FROM (SELECT ro, dd, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT ro, dd, string_split(word, '-') AS p FROM ws)) WHERE p[i] <> ''),
+        k AS (SELECT sign, length(b) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS o, CASE WHEN regexp_replace(sign, '[\\[\\]⸢⸣()]', '', 'g') = 'x' THEN 'illegible_x'
+            WHEN coalesce({_mark('[', ']', 'b')} = 1, ro) OR regexp_matches(sign, '^[⸢(]*\\[') THEN 'restored' WHEN coalesce({_mark('⸢', '⸣', 'b')} = 1, dd) OR regexp_matches(sign, '^[\\[(]*⸢') THEN 'laes' ELSE 'attested' END AS state FROM sg)
+        SELECT state, count(*) AS signs, CAST(sum(o) AS BIGINT) AS offsets, count(DISTINCT sign) AS kinds FROM k GROUP BY state""",
     "line_labels": f"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL), "
                    f"p AS (SELECT trim(regexp_extract(s, {_LAB}, 1)) AS h, regexp_extract(s, {_LAB}, 2) AS n, regexp_extract(s, {_LAB}, 3) AS q FROM l) "
                    "SELECT CASE WHEN h = '' THEN NULL " + " ".join(f"WHEN h = '{k}' THEN '{v}'" for k, v in st.SIDES.items()) + " ELSE 'other' END AS side, CASE WHEN n <> '' THEN q <> '' END AS prime, count(*) AS lines, max(CASE WHEN n <> '' THEN CAST(n AS INTEGER) END) AS highest FROM p GROUP BY ALL",
