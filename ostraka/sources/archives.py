@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Members an archive holds besides documents.
 JUNK = ("__MACOSX", "._")
@@ -85,6 +86,16 @@ def gated_json(spark: SparkSession, path: str, allowed: DataFrame, schema: str,
     return passed.select(F.from_json(F.when(F.col("gate") == 1, text), schema).alias("row")).select("row.*")
 
 
+def key_order_faults(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(file, line, previous, found): lines whose leading ``key`` is missing or smaller than that of the line before; only keys are read off the raw lines, nothing is decoded."""
+    raw = spark.read.text(path).where("trim(value) <> ''").select(
+        F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start")).alias("block"), F.monotonically_increasing_id().alias("line"),
+        F.nullif(F.regexp_extract("value", rf'^\{{"{key}": ?"([^"]*)"', 1), F.lit("")).alias("found"))
+    w = Window.partitionBy("file").orderBy("block", "line")
+    seen = raw.withColumn("previous", F.lag("found").over(w))
+    return seen.where("found is null or found < previous").select("file", "line", "previous", "found")
+
+
 def canonical_hash(value) -> str:
     """SHA-256 of the canonical JSON of a value: sorted keys, no blanks, UTF-8."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -12,7 +12,7 @@ from ostraka.operators import audit, bayes, packets, retrieval, synth
 from ostraka.operators import calibration as cal
 from ostraka.operators import composites as co
 from ostraka.operators import sampling as sm
-from ostraka.sources import files
+from ostraka.sources import archives, files
 from ostraka.storage import Scratch, scratch_scope
 
 
@@ -177,6 +177,13 @@ def test_files(spark, tmp_path):
     assert [tuple(x) for x in page.select(files.catalogue_titles(F.col("h")).alias("t")).first().t] == [("5.1", "Treaty"), ("6", "Fragments")]
 
 
+def test_order_of_keys(spark, tmp_path):
+    (tmp_path / "good.jsonl").write_text('{"id": "a", "x": 1}\n\n{"id": "b"}\n{"id": "b"}\n')
+    (tmp_path / "bad.jsonl").write_text('{"id": "b"}\n{"id": "a", broken\n{"x": 1}\n')
+    assert archives.key_order_faults(spark, str(tmp_path / "good.jsonl"), "id").count() == 0
+    assert [(r.previous, r.found) for r in archives.key_order_faults(spark, str(tmp_path / "bad.jsonl"), "id").orderBy("line").collect()] == [("b", "a"), ("a", None)]
+
+
 def test_scratch_tables_go_with_their_scope(spark):
     with scratch_scope():
         s = Scratch(spark, "scope")
