@@ -65,8 +65,11 @@ def shared_spans(records: DataFrame, key: str = "fragment_id", length: int = 15)
     repetition within one record alone does not count. Records shorter than ``length`` and
     empty tables give no rows. Tokens count from 0, both ends included.
     """
-    scratch = Scratch(records.sparkSession, "spans")
-    table = _numbered(records, key, scratch)
+    return _spans_of(_numbered(records, key, Scratch(records.sparkSession, "spans")), key, length)
+
+
+def _spans_of(table: DataFrame, key: str, length: int) -> DataFrame:
+    """``shared_spans`` of a written table (rid, ``key``, tokens)."""
     windows = _windows(table.select("rid", "tokens"), length)
     shared = windows.groupBy("h1", "h2").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo <> hi").select("h1", "h2")
     covered = windows.join(shared, ["h1", "h2"]).groupBy("rid").agg(F.array_sort(F.collect_list("pos")).alias("p"))
@@ -76,8 +79,9 @@ def shared_spans(records: DataFrame, key: str = "fragment_id", length: int = 15)
 
 def shared_fraction(records: DataFrame, key: str = "fragment_id", length: int = 15) -> DataFrame:
     """(``key``, n_tokens, shared_tokens, share): how much of each record stands elsewhere too; every record has a row."""
-    spans = shared_spans(records, key, length).groupBy(key).agg(F.sum(F.expr("end_tok - start_tok + 1")).alias("n"))
-    sized = records.select(key, F.size("tokens").cast("long").alias("n_tokens")).join(spans, key, "left")
+    table = _numbered(records, key, Scratch(records.sparkSession, "share"))
+    spans = _spans_of(table, key, length).groupBy(key).agg(F.sum(F.expr("end_tok - start_tok + 1")).alias("n"))
+    sized = table.select(key, F.size("tokens").cast("long").alias("n_tokens")).join(spans, key, "left")
     return sized.select(key, "n_tokens", F.coalesce("n", F.lit(0)).cast("long").alias("shared_tokens")).withColumn(
         "share", F.when(F.col("n_tokens") > 0, F.round(F.col("shared_tokens") / F.col("n_tokens"), 6)).otherwise(F.lit(0.0)))
 
