@@ -81,40 +81,52 @@ def divided(splits: DataFrame) -> DataFrame:
 
 
 def _anneal(counts: np.ndarray, start: np.ndarray, target: np.ndarray, heat: float, seed: int, steps: int) -> np.ndarray:
-    """Moves and swaps of groups between splits; ``counts`` (groups, dims), ``target`` (splits, dims)."""
+    """Moves and swaps of groups between splits; ``counts`` (groups, dims), ``target`` (splits, dims).
+
+    A group touches few labels, so a step looks at these alone. Changes are kept in a journal, from which the
+    best state seen is put together at the end.
+    """
     rng = np.random.default_rng(seed)
-    now = start.copy()
-    gap = -target.copy()
-    for s in range(len(SPLITS)):
-        gap[s] += counts[now == s].sum(axis=0)
+    n, parts = len(start), len(SPLITS)
     scale = 1.0 / np.maximum(target.sum(axis=0), 1.0) ** 2
     scale[0] *= len(scale)  # size weighs as much as all labels together
-    cost = float((gap**2 * scale).sum())
-    best, best_cost = now.copy(), cost
-    n = len(now)
-    picks = rng.integers(0, n, (steps, 2))
-    places = rng.integers(1, len(SPLITS), steps)
-    luck = rng.random(steps)
+    gap = np.stack([counts[start == s].sum(axis=0) for s in range(parts)]) - target
+    best_cost = cost = float((gap**2 * scale).sum())
+    gaps, weight, now = gap.tolist(), scale.tolist(), start.tolist()
+    held = [[(d, row[d]) for d in np.flatnonzero(row).tolist()] for row in counts]
+    journal: list[tuple[int, int]] = []
+    best_at = 0
+    picks, others = rng.integers(0, n, steps).tolist(), rng.integers(0, n, steps).tolist()
+    places, luck = rng.integers(1, parts, steps).tolist(), np.log(rng.random(steps)).tolist()
     for k in range(steps):
-        i, j = picks[k]
+        i, j = picks[k], others[k]
         a = now[i]
-        b = (a + places[k]) % len(SPLITS)
-        moved = counts[i]
-        swap = k % 2 == 1 and now[j] == b
+        b = (a + places[k]) % parts
+        moved, swap = held[i], k % 2 == 1 and now[j] == b
         if swap:
-            moved = moved - counts[j]
-        # moving `moved` from a to b changes the two gaps only
-        change = float((moved * scale * (2 * moved + 2 * (gap[b] - gap[a]))).sum())
+            both = dict(moved)
+            for d, v in held[j]:
+                both[d] = both.get(d, 0.0) - v
+            moved = list(both.items())
+        from_, to = gaps[a], gaps[b]
+        # moving from a to b changes the two gaps only
+        change = 2.0 * sum(v * weight[d] * (v + to[d] - from_[d]) for d, v in moved)
         limit = heat * (1 - k / steps) * (cost / max(n, 1) + 1e-12)
-        if change <= 0 or luck[k] < np.exp(-change / limit if limit > 0 else -np.inf):
-            gap[a] -= moved
-            gap[b] += moved
+        if change <= 0 or (limit > 0 and luck[k] < -change / limit):
+            for d, v in moved:
+                from_[d] -= v
+                to[d] += v
             now[i] = b
+            journal.append((i, b))
             if swap:
                 now[j] = a
+                journal.append((j, a))
             cost += change
             if cost < best_cost:
-                best, best_cost = now.copy(), cost
+                best_at, best_cost = len(journal), cost
+    best = start.copy()
+    for i, s in journal[:best_at]:
+        best[i] = s
     return best
 
 
