@@ -134,6 +134,7 @@ def tie_complete(ranked_votes: DataFrame, ids: list[str], depth: int) -> DataFra
     return ranked_votes.withColumn("tie_rank", F.rank().over(w)).where(F.col("tie_rank") <= depth)
 
 
+# The names of the categories.
 def disagreement(rank: Column, top_len: Column, gold_len: Column) -> Column:
     """What kind of disagreement there is between the top proposal and the attested reading."""
     return (F.when(rank == 1, "TOP_EXACT_ATTESTED_AGREEMENT").when(rank.isNotNull(), "ATTESTED_READING_LOWER_RANKED")

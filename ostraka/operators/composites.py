@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 TIER_B_LINES, MIN_SIGNS, MIN_LINES = 2, 8, 2
 
 
+# The names of the geometries.
 def member_pairs(members: DataFrame, lines: DataFrame) -> DataFrame:
     """(parent, member_a, member_b, declared, n_shared, first_shared, last_shared, geometry): members that stand side by side, or share a line.
 

@@ -168,6 +168,7 @@ def name_keys(names: DataFrame, column: str) -> DataFrame:
     return names.join(keyed, column, "left")
 
 
+# The names of the categories and the marks they are told by.
 def parse_failure(line: Column, message: Column, column: Column, text: Column) -> Column:
     """Category of an XML failure by the line it stands in, the first that holds."""
     quoted = F.length(F.regexp_replace(F.substring(line, F.lit(1), column), '[^"]', "")) % 2 == 1
@@ -202,6 +203,7 @@ def basis_family(bases: Column) -> Column:
     return F.when(F.size(names) == 1, F.concat(F.get(names, F.lit(0)), F.lit("_only"))).when(F.size(names) > 1, F.concat(F.lit("mixed:"), F.array_join(names, "+")))
 
 
+# The names of the outcomes.
 def outcome(n_alt: Column, unique_top: Column, accepted: Column, exact: Column) -> Column:
     """What is presented of a span: nothing for want of evidence, for a tie or by the rule, else the top reading, which agrees or differs."""
     return (F.when(n_alt == 0, "abstain_no_anchor_evidence").when(~unique_top, "abstain_evidence_tie").when(~accepted, "abstain_calibrated_threshold")

@@ -48,6 +48,7 @@ def duplicate_topology(spark: SparkSession, sf: str) -> DataFrame:
     return per.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("rows"))
 
 
+# The names of the gates, in the order they are met.
 def access_gates(spark: SparkSession, sf: str) -> DataFrame:
     """Every stem of the parse-error log by the gate it meets first."""
     stems = table(spark, sf, "parse_errors", "file").where("file is not null").select(F.regexp_extract("file", r"([^/]+)\.xml$", 1).alias("doc_id"))
