@@ -33,14 +33,15 @@ MAX_MIDDLE = 12
 #: Stands between the tokens of a key; no token holds it.
 MARK = "\x1f"
 PAIR = ["k1", "k2"]
-#: Anchor pairs, 8 bytes each, that are broadcast at most.
+#: Hashes of anchors, or of anchor pairs, 8 bytes each, that are broadcast at most.
 BROADCAST_KEYS = 1_000_000
 
 
-def windows(lines: DataFrame, anchors: int, scope: str, unit: str, max_middle: int = MAX_MIDDLE, spelled: bool = False) -> DataFrame:
+def windows(lines: DataFrame, anchors: int, scope: str, unit: str, max_middle: int = MAX_MIDDLE, spelled: bool = False, among: DataFrame | None = None) -> DataFrame:
     """(doc_id, line, start, len, scope, unit, family, k1, k2, m): every window of every line; ``start`` is where the middle begins.
 
-    ``m`` is a hash of the middle, or its tokens joined by ``MARK`` if ``spelled``.
+    ``m`` is a hash of the middle, or its tokens joined by ``MARK`` if ``spelled``. Only windows between
+    anchors in ``among`` (g, as ``shared_anchors`` hashes them) are made, where it is given.
     """
     names = ["doc_id", "line", F.col(scope).alias("scope"), F.col(unit).alias("unit"), "family"]
     kept = ["doc_id", "line", "scope", "unit", "family"]
@@ -50,14 +51,28 @@ def windows(lines: DataFrame, anchors: int, scope: str, unit: str, max_middle: i
     at = hashed.select(*kept, *parts, F.explode(F.sequence(F.lit(1), F.size("h") - (2 * anchors - 1))).alias("i"))
     # each row keeps only the stretch its windows lie in
     near = at.select(*kept, (F.col("i") - 1 + anchors).alias("start"), F.slice("h", F.col("i"), anchors).alias("l"), *[F.slice(p, F.col("i") + anchors, max_middle + anchors).alias(p) for p in parts])
+    if among is not None:
+        near = near.join(among, F.xxhash64("scope", "l") == F.col("g"), "left_semi")
     each = near.select(*kept, "start", "l", *parts, F.explode(F.sequence(F.lit(0), F.size("h") - anchors)).alias("len"))
     r = F.slice("h", F.col("len") + 1, anchors)
+    if among is not None:
+        each = each.join(among, F.xxhash64("scope", r) == F.col("g"), "left_semi")
     middle = F.slice("t" if spelled else "h", F.lit(1), F.col("len"))
     return each.select(
         "doc_id", "line", "start", "len", "scope", "unit", "family", F.xxhash64("scope", "l", r).alias("k1"), F.xxhash64(F.lit(7), "scope", "l", r).alias("k2"),
         (F.array_join(middle, MARK) if spelled else F.xxhash64(middle)).alias("m"))
 
 
+def shared_anchors(lines: DataFrame, anchors: int, scope: str) -> DataFrame | None:
+    """(g): hashes of scope and anchor, of the anchors that two families have, for a broadcast; None where they are too many for one."""
+    hashed = lines.where(F.size("tokens") >= 2 * anchors).select(F.col(scope).alias("scope"), "family", F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    at = hashed.select("scope", "family", "h", F.explode(F.sequence(F.lit(1), F.size("h") - (anchors - 1))).alias("i"))
+    grams = at.select(F.xxhash64("scope", F.slice("h", F.col("i"), anchors)).alias("g"), "family")
+    shared = grams.groupBy("g").agg(F.min("family").alias("a"), F.max("family").alias("z")).where("a <> z").select("g")
+    written = Scratch(lines.sparkSession, "anchors").cut(shared, "shared")
+    return F.broadcast(written) if written.count() <= BROADCAST_KEYS else None  # a checked size; it only spares work
+
+
 def masked_spans(lines: DataFrame, anchors: int, mask: int, scope: str, unit: str) -> DataFrame:
     """The windows whose middle, the gold reading, has ``mask`` tokens: every span inside a line with whole anchors on both sides."""
     return windows(lines, anchors, scope, unit, mask, spelled=True).where(F.col("len") == mask)
@@ -70,7 +85,8 @@ def counted(lines: DataFrame, anchors: int, masks: list[int], scope: str, unit:
     them, so what is shuffled in full is only what can matter. (They are told by half of the key: that
     two pairs share it by chance costs a few rows and changes no result.)
     """
-    every = windows(lines, anchors, scope, unit, max_middle, spelled)
+    # an anchor of one family alone is in no pair that matters
+    every = windows(lines, anchors, scope, unit, max_middle, spelled, shared_anchors(lines, anchors, scope))
     pairs = every.groupBy("k1").agg(F.min("family").alias("a"), F.max("family").alias("z"), F.max(F.col("len").isin(masks)).alias("asked"))
     wanted = Scratch(lines.sparkSession, "pairs").cut(pairs.where("a <> z and asked").select("k1"), "wanted")
     if wanted.count() <= BROADCAST_KEYS:  # a checked size; beyond it the windows are shuffled to the keys
