@@ -95,7 +95,7 @@ def task_b_intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     """Queries answered in the first ten against those missed, by hundred of composition: how many, how long they are, how well the best partner scores."""
-    docs = rp._docs(spark, sf)
+    docs = rp._docs(spark, sf, attested=True)
     judged = rp._judged(docs, rp._found(docs))
     best = judged.where("positive").groupBy("query_id").agg(F.min("rank").alias("rank"), F.max("score").alias("score"))
     q = rp._answerable(docs).join(docs.select(F.col("doc_id").alias("query_id"), "cth", F.size("attested").alias("n")), "query_id").join(best, "query_id", "left")
