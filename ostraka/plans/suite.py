@@ -49,32 +49,32 @@ def _exclusive(frags: DataFrame, positives: DataFrame) -> tuple[DataFrame, DataF
     return index, own.select(F.lit("C_exclusive").alias("tier"), "query_id", "doc_id")
 
 
-def _ranked(index: DataFrame, queries: DataFrame, families: bool) -> DataFrame:
-    """Candidates of each query but itself and, where asked, fragments of other tablets with its text: members of one tablet stay."""
-    scored = ret.bm25(index.select("doc_id", "tokens"), queries.select(F.col("doc_id").alias("query_id"), "tokens")).where("query_id <> doc_id")
-    if families:
-        own = queries.select(F.col("doc_id").alias("query_id"), F.col("family").alias("qf"), F.col("parent").alias("qp"))
-        scored = scored.join(own, "query_id").join(index.select("doc_id", "family", "parent"), "doc_id").where("family <> qf or parent = qp")
-    return ret.ranking(scored.select("query_id", "doc_id", "score"))
+def _search(index: DataFrame, queries: DataFrame, families: bool) -> ranks.Search:
+    """Every query against all fragments but itself and, where asked, fragments of other tablets with its text: members of one tablet stay."""
+    barred = [F.col("doc_id").alias("b"), *([F.col("family").alias("a"), F.col("parent").alias("spare")] if families else [])]
+    return ranks.Search(index.select("doc_id", "tokens", *barred), queries.select(F.col("doc_id").alias("query_id"), "tokens", *barred))
 
 
-def _measured(positives: DataFrame, queries: DataFrame, ranked: DataFrame) -> DataFrame:
+def _measured(positives: DataFrame, queries: DataFrame, search: ranks.Search) -> DataFrame:
     """(tier, query_id, rank): rank of the first partner, null where none is a candidate; queries have a text."""
-    asked = positives.join(queries.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
-    return asked.join(ranked, ["query_id", "doc_id"], "left").groupBy("tier", "query_id").agg(F.min("rank").alias("rank"))
+    asked = search.scratch.cut(positives.join(queries.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi"), "asked")
+    scored = search.scored(asked).join(asked, ["query_id", "doc_id"])
+    firsts = ranks.first_placed(search, scored, "tier").select("tier", "query_id", "rank")
+    return asked.select("tier", "query_id").distinct().join(firsts, ["tier", "query_id"], "left")
 
 
 def _suite(spark: SparkSession, sf: str) -> DataFrame:
     """(variant, tier, query_id, rank): written once for its measures."""
     frags, positives = _fragments(spark, sf), Scratch(spark, "suite").cut(_positives(spark, sf), "positives")
     queries = frags.join(positives.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    own, pairs = _exclusive(frags, positives)
+    cut = Scratch(spark, "exclusive")  # short plans: each of these is read many times
+    own, pairs = (cut.cut(x, name) for x, name in zip(_exclusive(frags, positives), ("index", "pairs")))
+    queries, asked = cut.cut(queries, "queries"), cut.cut(own.join(pairs.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "asked")
     parts = []
     for variant in ("test_only", "full_distractor"):
         index, own_index = (x.where("test") if variant == "test_only" else x for x in (frags, own))
-        asked = own.join(pairs.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        for m in (_measured(positives, queries, _ranked(index, queries, True)), _measured(pairs, asked, _ranked(own_index, asked, False))):
-            parts.append(m.select(F.lit(variant).alias("variant"), "tier", "query_id", "rank"))
+        for m in (_measured(positives, queries, _search(index, queries, True)), _measured(pairs, asked, _search(own_index, asked, False))):
+            parts.append(cut.cut(m.select(F.lit(variant).alias("variant"), "tier", "query_id", "rank"), f"firsts{len(parts)}"))
     return Scratch(spark, "suite").cut(reduce(DataFrame.unionByName, parts), "firsts")
 
 
