@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arrays import jaccard
-from ..operators import audit, bayes, packets, text, witness
+from ..operators import audit, bayes, packets, passages, text, witness
 from ..operators import rendering as rn
 from ..operators import sampling as sm
 from ..operators import structure as st
@@ -163,29 +163,19 @@ def packet_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_packets(spark: SparkSession, sf: str) -> DataFrame:
     """Five packets of each outcome, of one source each first: what a reader is shown."""
-    lines = Scratch(spark, "packets").cut(pw._lines(spark, sf), "lines")
-    w = pw._counted(spark, lines, spelled=True)
-    told = _outcomes(spark, lines, w).join(witness.candidates(w, [1], 5).select(*pw.SPAN, "first"), pw.SPAN)
-    spans = witness.windows(lines, 2, "scope", "unit", 1, spelled=True).where("len = 1").join(told, pw.SPAN)
-    picked = sm.quota(spans, "outcome", "unit", ["doc_id", "line", "start"], 5)
+    known = passages.Passages(pw._lines(spark, sf), "scope", "unit", ordered=True)
+    spans = passages.firsts_of_units(known, 2, 1, _RULE, 5, 5)  # a bucket's first five of a unit are all that a quota of five can take
+    told = spans.withColumn("outcome", rn.outcome(F.col("n_alt"), F.col("unique_top"), F.col("accepted"), F.col("top_exact")))
+    picked = Scratch(spark, "packets").cut(sm.quota(told, "outcome", "unit", ["doc_id", "line", "start"], 5), "picked")
     made = packets.body(picked, ["doc_id", "line", "start"])
     return picked.select("doc_id", "line", "start", "outcome", "n_alt", "total", "place").join(made, ["doc_id", "line", "start"]).select("outcome", "place", "doc_id", "line", "start", "n_alt", "total", "action")
 
 
 def disagreement_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Spans whose first proposal is not the attested reading, with the flags that may explain it."""
-    lines = Scratch(spark, "flags").cut(pw._lines(spark, sf), "lines")
-    w = pw._counted(spark, lines, spelled=True)
-    told = witness.candidates(w, [1], 1)
-    best = F.get("first", F.lit(0))
-    wrong = told.where(best["m"] != F.col("m")).select(*pw.SPAN, "n_alt", "gold_support", best["support"].alias("top"))
-    units = witness.windows(lines, 2, "scope", "unit").select(*witness.PAIR, "unit").distinct().groupBy(*witness.PAIR).agg(F.count(F.lit(1)).alias("units"))
-    spans = witness.windows(lines, 2, "scope", "unit", 1, spelled=True).where("len = 1")
-    again = spans.groupBy("doc_id", *witness.PAIR).agg(F.count(F.lit(1)).alias("again"))
-    full = spans.join(wrong, pw.SPAN).join(units, witness.PAIR).join(again, ["doc_id", *witness.PAIR])
-    return full.agg(
-        F.count(F.lit(1)).alias("disagreements"), F.count_if(F.col("n_alt") > 1).alias("several_middles"), F.count_if(F.col("top") > 1).alias("top_of_several_families"),
-        F.count_if(F.col("units") > 1).alias("anchor_in_several_units"), F.count_if(F.col("again") > 1).alias("anchor_repeats_in_document"), F.count_if(F.col("gold_support") == 0).alias("attested_absent"))
+    r = passages.disagreements(passages.Passages(pw._lines(spark, sf), "scope", "unit", ordered=True), 2, 1)
+    flags = {"several_middles": "middles", "top_of_several_families": "families", "anchor_in_several_units": "units", "anchor_repeats_in_document": "again", "attested_absent": "absent"}
+    return r.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("disagreements"), *[F.coalesce(F.sum(F.col("c") * F.col(x)), F.lit(0)).alias(name) for name, x in flags.items()])
 
 
 def nb_language(spark: SparkSession, sf: str) -> DataFrame:

@@ -45,3 +45,25 @@ def lines_of(lines, scope, family):
         for r in lines.collect():
             _held.setdefault(r.scope, []).append(r)
     return [r for r in _held[scope] if r.family != family]
+
+
+QUERIES = ["adaptive_horizon", "disagreement_flags", "rank_calibration", "candidate_set_depths", "disagreement_taxonomy", "evidence_packets"]
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_queries_make_no_table_of_windows(spark, monkeypatch, tmp_path, name):
+    import duckdb
+
+    import __spark_entry__
+
+    rng = random.Random(9)
+    words = ["a", "b", "b\x01", "bé", "c"]
+    rows = [(d, None if d == 39 else "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 11))) for _ in range(3)), rng.choice(["x", "y", None]), rng.choice(["u", "v", None])) for d in range(40)]
+    rows += [(100 + d, rows[d][1], rows[d][2], "w") for d in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(__spark_entry__.oracle_sql()[name]).fetchall()
+    _no_windows(monkeypatch)
+    got = [tuple(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and got
