@@ -86,7 +86,10 @@ def task_b_suite(spark: SparkSession, sf: str) -> DataFrame:
 
 def task_b_intervals(spark: SparkSession, sf: str) -> DataFrame:
     """Bootstrap intervals of the pooled recall at each cutoff, all documents as candidates."""
-    firsts = _suite(spark, sf).where("variant = 'full_distractor' and tier = 'pooled'")
+    cut = Scratch(spark, "intervals")
+    frags, positives = _fragments(spark, sf), cut.cut(_positives(spark, sf).where("tier = 'pooled'"), "positives")  # every query has a pooled partner
+    queries = cut.cut(frags.join(positives.select(F.col("query_id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "queries")
+    firsts = cut.cut(_measured(positives, queries, _search(frags, queries, True)), "firsts")
     out = None
     for k in (1, 10):
         ci = ret.bootstrap(firsts.select(F.col("query_id").alias("key"), F.when(F.col("rank") <= k, 1.0).otherwise(0.0).alias("hit")), "hit").select(F.lit(k).alias("k"), "*")
