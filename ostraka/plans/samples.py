@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arrays import ngrams
 from ..functions.stats import fisher_exact
-from ..operators import audit, text
+from ..operators import audit, text, thirds
 from ..operators import composites as co
 from ..operators import sampling as sm
 from ..operators import structure as st
@@ -137,21 +136,8 @@ def third_witness_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """
     frags = text.fragments(table(spark, sf, "failures", "query_id", "predicted", "query_rendering", "predicted_rendering"))
     pairs = table(spark, sf, "join_pairs", "fragment_id_a", "fragment_id_b", "tier").where("fragment_id_a <> fragment_id_b")
-    have = frags.select("fragment_id")
     one = pairs.groupBy(F.least("fragment_id_a", "fragment_id_b").alias("a"), F.greatest("fragment_id_a", "fragment_id_b").alias("b")).agg(F.min("tier").alias("tier"))
-    one = one.join(have.withColumnRenamed("fragment_id", "a"), "a", "left_semi").join(have.withColumnRenamed("fragment_id", "b"), "b", "left_semi")
-    asked = one.select(F.explode(F.array("a", "b")).alias("fragment_id")).distinct()
-    out = None
-    for n in WITNESS_GRAMS:
-        grams = frags.select("fragment_id", F.posexplode(ngrams(F.col("tokens"), n)).alias("p", "g"))
-        own = grams.join(asked, "fragment_id", "left_semi").select(F.col("fragment_id").alias("f"), "g").distinct()
-        met = own.join(grams, "g").where("f <> fragment_id").groupBy("f", F.col("fragment_id").alias("w")).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-        left = met.select(F.col("f").alias("a"), "w", F.col("lo").alias("la"), F.col("hi").alias("ha"))
-        right = met.select(F.col("f").alias("b"), "w", F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-        spanned = one.join(left, "a").join(right, ["b", "w"]).where((F.col("w") != F.col("a")) & (F.col("w") != F.col("b"))).where(f"ha - lb >= {n} or hb - la >= {n}").select("a", "b").distinct()
-        part = one.join(spanned.withColumn("s", F.lit(1)), ["a", "b"], "left").groupBy(F.lit(n).alias("n"), "tier").agg(F.count(F.lit(1)).alias("pairs"), F.count("s").alias("covered"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return thirds.covered(frags, one, WITNESS_GRAMS).groupBy("n", "tier").agg(F.count(F.lit(1)).alias("pairs"), F.count("s").alias("covered"))
 
 
 _CO = """ln AS (SELECT l_partkey AS parent, l_linenumber AS member, year(l_shipdate) * 12 + month(l_shipdate) AS line, sum(CAST(l_quantity AS DOUBLE)) AS signs FROM lineitem GROUP BY ALL),

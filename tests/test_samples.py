@@ -5,13 +5,16 @@ import math
 import random
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ostraka.operators import audit, bayes, packets, retrieval, synth
+from ostraka.operators import audit, bayes, packets, retrieval, synth, thirds
 from ostraka.operators import calibration as cal
 from ostraka.operators import composites as co
 from ostraka.operators import sampling as sm
+from ostraka.plans import samples
 from ostraka.sources import archives, files
 from ostraka.storage import Scratch, scratch_scope
 
@@ -208,3 +211,42 @@ def test_dense_search_in_shards(spark, n, k):
         want = sorted((i for i in range(n) if i != q), key=lambda i: (-s[i], i))[:k]
         assert [i for _, i in sorted(got[q])] == want
     assert len(got) == -(-n // 100)
+
+
+def test_third_witnesses_are_found_in_blocks_without_a_table_of_runs(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    passages = [[rng.choice("abcdef") for _ in range(8)] for _ in range(4)]
+    texts = {}
+    for i in range(60):
+        t = [x for p in rng.sample(passages, rng.randint(0, 2)) for x in [f"n{i}"] * rng.randint(0, 2) + p[rng.randint(0, 3):]]
+        texts[f"f{i}"] = t or ["x"] * rng.randint(1, 6)
+    pairs = [(f"f{a}", f"f{b}") for a, b in (sorted(rng.sample(range(60), 2), key=lambda i: f"f{i}") for _ in range(150))]
+    pairs = sorted(set(pairs))
+
+    def spans(w, a, b, n):
+        def places(f):
+            runs = {tuple(texts[f][i:i + n]) for i in range(len(texts[f]) - n + 1)}
+            return [i for i in range(len(texts[w]) - n + 1) if tuple(texts[w][i:i + n]) in runs]
+        return any(abs(p - q) >= n for p in places(a) for q in places(b))
+
+    want = {(a, b, n): any(w not in (a, b) and spans(w, a, b, n) for w in texts) for a, b in pairs for n in (3, 5)}
+    assert 20 < sum(want.values()) < len(want) - 20
+    frags = spark.createDataFrame(list(texts.items()), "fragment_id string, tokens array<string>")
+    out = thirds.covered(frags, spark.createDataFrame([*pairs, ("f1", "gone")], "a string, b string"), (3, 5))
+    assert {(r.a, r.b, r.n): r.s == 1 for r in out.collect()} == want and out.count() == len(want)
+    monkeypatch.setattr(thirds, "PORTION", 3)
+    monkeypatch.setattr(thirds, "PLACES", 5)
+    number = {f: i for i, f in enumerate(texts)}
+    code = {t: i for i, t in enumerate(sorted({t for x in texts.values() for t in x}))}
+    lists = pa.array([[code[t] for t in x] for x in texts.values()], pa.list_(pa.int64()))
+    a, b = (np.array([number[p[i]] for p in pairs]) for i in (0, 1))
+    for n in (3, 5):
+        found = thirds._Block(np.arange(60), lists, n).covered(a, b, lists.take(pa.array(a)), lists.take(pa.array(b)))
+        assert {(*p, n): bool(x) for p, x in zip(pairs, found)} == {k: v for k, v in want.items() if k[2] == n}
+    assert thirds.covered(frags.limit(0), spark.createDataFrame(pairs, "a string, b string"), (3,)).count() == 0
+    log = [(f, "f0", " ".join(t), " ".join(texts["f0"])) for f, t in texts.items()]
+    spark.createDataFrame(log, "query_id string, predicted string, query_rendering string, predicted_rendering string").write.parquet(str(tmp_path / "failures.parquet"))
+    spark.createDataFrame([(*p, "A") for p in pairs], "fragment_id_a string, fragment_id_b string, tier string").write.parquet(str(tmp_path / "join_pairs.parquet"))
+    query = samples.third_witness_coverage(spark, str(tmp_path))
+    assert "posexplode" not in query._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n, r.tier, r.pairs, r.covered) for r in query.collect()} == {(n, "A", len(pairs), sum(v for k, v in want.items() if k[2] == n)) for n in (3, 5)}
