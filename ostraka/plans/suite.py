@@ -101,8 +101,8 @@ def failure_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     """Queries answered in the first ten against those missed, by hundred of composition: how many, how long they are, how well the best partner scores."""
     docs = rp._docs(spark, sf, attested=True)
     search = rp._search(docs)
-    scored = search.scored(rp._positives(docs))
-    best = ranks.first_placed(search, scored).select("query_id", "rank").join(scored.groupBy("query_id").agg(F.max("score").alias("score")), "query_id")
+    first = search.first_of_group()
+    best = search.placed(first).select("query_id", "rank").join(first.select("query_id", F.col("top").alias("score")), "query_id")
     q = rp._answerable(docs).join(docs.select(F.col("doc_id").alias("query_id"), "cth", F.size("attested").alias("n")), "query_id").join(best, "query_id", "left")
     g = q.groupBy(F.coalesce(F.col("rank") <= 10, F.lit(False)).alias("hit"), (F.floor(F.col("cth") / 100) * 100).cast("int").alias("genre"))
     return g.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("n"), 6).alias("mean_attested"), F.round(F.avg(F.coalesce("score", F.lit(0.0))), 6).alias("mean_score"))
